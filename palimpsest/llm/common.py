@@ -39,6 +39,14 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(stashed: DataFrame) -> None:
+    """Delete a stashed table that no later step reads."""
+    spark = stashed.sparkSession
+    for file in stashed.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, most: int) -> DataFrame:
     """Mark ``df`` for broadcast only if its counted ``rows`` are at most ``most``; else the planner joins by shuffle."""
     return F.broadcast(df) if rows <= most else df

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, sharding
+from . import lines, mixing, near, sharding
 from .common import table
 
 #: Bytes of text in a shard. Production shards are larger; this keeps several even in the small tables.
@@ -73,9 +73,15 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') EN
 FROM documents d LEFT JOIN kept k USING (doc_id)
 """
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates of all documents by 4-word shingles at 80%."""
+    return near.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_sharding": op3_sharding,
     "op6_line_dedup": op6_line_dedup,
+    "op7_near_dedup": op7_near_dedup,
 }
 SQL: dict[str, str] = {"op1_mixing": OP1_SQL, "op3_sharding": OP3_SQL, "op6_line_dedup": OP6_SQL}
