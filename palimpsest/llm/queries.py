@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, near, sharding
+from . import classifier, lines, mixing, near, pieces, rules, sharding, topk
 from .common import table
 
 #: Bytes of text in a shard. Production shards are larger; this keeps several even in the small tables.
@@ -54,6 +54,26 @@ QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1
 """
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best of all vectors for every hundredth."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP4_SQL = """
+WITH ready AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v, row_number() OVER () AS n FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.vec_id AS query_id, q.n, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+    FROM ready q JOIN ready c ON q.n <> c.n WHERE q.vec_id % 100 = 0)
+SELECT query_id, (row_number() OVER o)::INT AS rank, vec_id, score FROM pairs
+WINDOW o AS (PARTITION BY n ORDER BY score DESC, vec_id) QUALIFY row_number() OVER o <= 10
+"""
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as piece ids, and whether decoding them gives the text back."""
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the repeats of multi-line chunks."""
     return lines.line_dedup(table(spark, sf_dir, "documents"))
@@ -78,10 +98,25 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of all documents; trusted are those labelled of good quality."""
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return rules.judge(table(spark, sf_dir, "documents"), trusted)
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_sharding": op3_sharding,
+    "op4_top_k": op4_top_k,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_line_dedup": op6_line_dedup,
     "op7_near_dedup": op7_near_dedup,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_quality_classifier": op9_quality_classifier,
 }
-SQL: dict[str, str] = {"op1_mixing": OP1_SQL, "op3_sharding": OP3_SQL, "op6_line_dedup": OP6_SQL}
+SQL: dict[str, str] = {"op1_mixing": OP1_SQL, "op3_sharding": OP3_SQL, "op4_top_k": OP4_SQL, "op6_line_dedup": OP6_SQL}

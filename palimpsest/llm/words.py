@@ -42,14 +42,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Parts of ``batch`` of about SLICE_BYTES of ``column``."""
+def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of ``batch`` of about ``size`` bytes of ``column``."""
     texts = batch.column(column)
     ends = np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0)))
     at = 0
     while at < batch.num_rows:
         base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, base + size, "right")))
         yield batch.slice(at, to - at)
         at = to
 
