@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
@@ -20,7 +20,7 @@ _BASE = 0xD6E8FEB86659FD93
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Distinct words of which a worker remembers the pieces; characters of words that advance together, of texts in a slice.
-REMEMBER, TOGETHER, SLICE = 600_000, 1 << 18, 1 << 23
+REMEMBER, TOGETHER, SLICE = 2_000_000, 1 << 18, 1 << 21
 
 
 def _fields(data: bytes):
@@ -59,7 +59,6 @@ class Pieces:
     model: int = UNIGRAM
     dummy_prefix: bool = True
     squeeze: bool = True
-    known: dict[str, int] = field(default_factory=dict)
 
     @classmethod
     def parse(cls, data: bytes) -> Pieces:
@@ -80,7 +79,7 @@ class Pieces:
         return cls(pieces, np.array(scores, np.float64), np.array(kinds), **more)
 
     def __getstate__(self):
-        return {k: self.__dict__[k] for k in ("pieces", "scores", "kinds", "model", "dummy_prefix", "squeeze")} | {"known": {}}
+        return {k: self.__dict__[k] for k in ("pieces", "scores", "kinds", "model", "dummy_prefix", "squeeze")} | {k: self.__dict__[k] for k in ("split",) if k in self.__dict__}
 
     @cached_property
     def ids(self) -> dict[str, int]:
@@ -101,7 +100,8 @@ class Pieces:
         out = {}
         by_length: dict[int, list[int]] = {}
         for p, i in self.ids.items():
-            by_length.setdefault(len(p), []).append(i)
+            if self.model == UNIGRAM or len(p) == 1 or i in self.split:
+                by_length.setdefault(len(p), []).append(i)
         for n, ids in by_length.items():
             chars = np.array([self.pieces[i] for i in ids], f"<U{n}").view(np.uint32).reshape(-1, n)
             keys = mix64((chars.astype(np.uint64) * powers(_BASE, n)).sum(1, dtype=np.uint64))
@@ -110,14 +110,22 @@ class Pieces:
         return out
 
     @cached_property
-    def breaks(self) -> re.Pattern:
-        """Matches the stretches that no piece reaches across: a word begins at a space mark after something else."""
-        inner = [p for p in self.ids if re.search(f"[^{SPACE}]{SPACE}", p)]
-        if inner:
-            return re.compile(r".+", re.DOTALL)
-        # characters that stand in no longer piece are words of their own
-        joined = {c for p in self.ids if len(p) > 1 for c in p}
-        return re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n" if "\n" not in joined else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+    def chars(self) -> tuple[np.ndarray, np.ndarray]:
+        """A small number for each character that stands in a longer piece (others 0), and which two stand side by side in one.
+
+        No piece reaches across two neighbours that never stand side by side,
+        so texts fall apart there into words without any change of the result.
+        """
+        longer = [p for p in self.ids if len(p) > 1]
+        number = {c: i + 1 for i, c in enumerate(sorted({c for p in longer for c in p}))}
+        of = np.zeros(0x110000, np.uint16)
+        for c, i in number.items():
+            of[ord(c)] = i
+        beside = np.zeros((len(number) + 1, len(number) + 1), bool)
+        for p in longer:
+            for x, y in zip(p, p[1:]):  # noqa: B905 - neighbours
+                beside[number[x], number[y]] = True
+        return of, beside
 
     def normalise(self, text: str) -> str:
         if self.squeeze:
@@ -149,10 +157,9 @@ class Pieces:
         order = np.argsort(ends, kind="stable")
         return rows[order], lengths[order], ids[order], np.searchsorted(ends[order], np.arange(n + 2))
 
-    def _advance(self, words: list[str]) -> list[np.ndarray]:
-        """Best pieces of words of one length, which advance together place by place."""
-        n, many = len(words[0]), len(words)
-        chars = np.array(words, f"<U{n}").view(np.uint32).reshape(many, n)
+    def _advance(self, chars: np.ndarray) -> list[np.ndarray]:
+        """Best pieces of words of one length (one per row), which advance together place by place."""
+        many, n = chars.shape
         arc_rows, arc_lengths, arc_ids, cut = self._arcs(chars)
         best = np.full((many, n + 1), -np.inf)
         best[:, 0] = 0
@@ -221,19 +228,62 @@ class Pieces:
             if len(known) > 4 * REMEMBER:
                 known, verdicts = known[:1], verdicts[:1]
                 new = np.unique(key)
-            fits = np.array([self._merged(k // len(self.pieces) - 1, k % len(self.pieces)) for k in new.tolist()])
+            fits = np.array([self._follows(k // len(self.pieces) - 1, k % len(self.pieces)) for k in new.tolist()])
             place = np.searchsorted(known, new)
             known, verdicts = self.__dict__["_pairs"] = np.insert(known, place, new), np.insert(verdicts, place, fits)
             at = np.searchsorted(known, key)
         return verdicts[at]
 
-    def _merged(self, a: int, b: int) -> bool:
-        left, right = self.pieces[a] if a >= 0 else "", self.pieces[b]
-        return self.merge(left + right) == [x for x in (left, right) if x]
+    def _follows(self, a: int, b: int) -> bool:
+        """The same for one pair: undo the merges of both sides from the last; the two ends that then meet must not merge before what was undone."""
+        if a < 0:
+            return True
+        names, ids, split, rank = self.pieces, self.ids, self.split, self.rank
+        if a in self.tied or b in self.tied:
+            return self.merge(names[a] + names[b])[0] == [names[a], names[b]]
+        limit = len(names)
+        while True:
+            joined = ids.get(names[a] + names[b])
+            if joined is not None and rank[joined] < limit:
+                return False
+            if rank[a] < 0 and rank[b] < 0:
+                return True
+            if rank[a] > rank[b]:
+                limit, a = rank[a], split[a][1]
+            else:  # equal pieces merge from the left, so the right one is undone first
+                limit, b = rank[b] + 1, split[b][0]
+
+    @cached_property
+    def rank(self) -> list[int]:
+        """Place of each piece in the order of merging; single characters come before all."""
+        out = np.empty(len(self.pieces), np.int64)
+        out[np.argsort(-self.scores, kind="stable")] = np.arange(len(out))
+        return [-1 if len(p) == 1 else int(r) for p, r in zip(self.pieces, out, strict=True)]
+
+    @cached_property
+    def tied(self) -> frozenset[int]:
+        """Longer pieces that share their score, such as runs of spaces: their merges are followed step by step."""
+        scores, times = np.unique(self.scores, return_counts=True)
+        shared = set(scores[times > 1].tolist())
+        return frozenset(i for p, i in self.ids.items() if len(p) > 1 and self.scores[i] in shared)
+
+    @cached_property
+    def split(self) -> dict[int, tuple[int, int]]:
+        """The last merge of each piece of several characters that merging its characters gives; other pieces are never used."""
+        out, rank = {}, self.rank
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                continue
+            parts, last = self.merge(p)
+            if parts == [p]:
+                out[i] = self.ids[last[0]], self.ids[last[1]]
+                if max(rank[out[i][0]], rank[out[i][1]]) >= rank[i] and i not in self.tied:
+                    raise ValueError(f"piece {i} ranks before its parts")
+        return out
 
-    def merge(self, text: str) -> list[str]:
-        """Pieces of a short text by merging the best-scored neighbours, leftmost first."""
-        parts, ids, scores = list(text), self.ids, self.scores
+    def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """Pieces of a short text by merging the best-scored neighbours, leftmost first; and what was merged last."""
+        parts, ids, scores, last = list(text), self.ids, self.scores, None
         while True:
             best, at = -np.inf, -1
             for i in range(len(parts) - 1):
@@ -241,68 +291,85 @@ class Pieces:
                 if k is not None and scores[k] > best:
                     best, at = scores[k], i
             if at < 0:
-                return parts
+                return parts, last
+            last = parts[at], parts[at + 1]
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     # -- texts ---------------------------------------------------------------
 
-    def _learn(self, words: list[str]) -> None:
-        """Add words to the store; equal-length words advance together."""
-        by_length: dict[int, list[str]] = {}
-        for w in words:
-            by_length.setdefault(len(w), []).append(w)
-        flat, starts = self.__dict__.get("_store", (np.zeros(0, np.int32), np.zeros(1, np.int64)))
-        parts, sizes = [flat], []
-        for n, group in by_length.items():
+    def _learn(self, flat: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Add words (places in ``flat``) to the store; equal-length words advance together."""
+        known, codes, ids, cuts = self.__dict__.get("_store", (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1, np.int64)))
+        if len(known) + len(keys) > REMEMBER:
+            known, codes, ids, cuts = known[:0], codes[:0], ids[:0], cuts[:1]
+        sizes = ends - starts
+        order = np.argsort(sizes, kind="stable")
+        cut = np.flatnonzero(np.diff(sizes[order], prepend=-1))
+        parts = [ids]
+        for group in np.split(order, cut[1:]):
+            n = int(sizes[group[0]])
             step = max(1, TOGETHER // n)
             for i in range(0, len(group), step):
-                found = self._advance(group[i : i + step])
-                parts.extend(found)
-                sizes.extend(map(len, found))
-                self.known.update(zip(group[i : i + step], range(len(self.known), len(self.known) + len(found)), strict=True))
-        self.__dict__["_store"] = np.concatenate(parts).astype(np.int32), np.concatenate([starts, starts[-1] + np.cumsum(sizes)]).astype(np.int64)
+                parts.extend(self._advance(flat[starts[group[i : i + step], None] + np.arange(n)]))
+        lengths = np.fromiter(map(len, parts[1:]), np.int64, len(keys))
+        new = np.empty(len(keys), np.int64)
+        new[order] = len(cuts) - 1 + np.arange(len(keys))
+        place = np.searchsorted(known, keys)
+        self.__dict__["_store"] = (
+            np.insert(known, place, keys),
+            np.insert(codes, place, new),
+            np.concatenate(parts).astype(np.int32),
+            np.concatenate([cuts, cuts[-1] + np.cumsum(lengths)]),
+        )
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in a row, and where each text's begin."""
-        find, normalise = self.breaks.findall, self.normalise
-        found = [find(normalise(t or "")) for t in texts]
-        distinct = set().union(*found)
-        new = distinct - self.known.keys()
-        if len(self.known) + len(new) > REMEMBER:
-            self.known.clear()
-            self.__dict__.pop("_store", None)
-            new = distinct
-        if new:
-            self._learn(sorted(new))
-        words = np.cumsum([0, *map(len, found)])
-        get = self.known.__getitem__
-        codes = np.fromiter((get(w) for some in found for w in some), np.int64, int(words[-1]))
-        if not len(codes):
+        plain = [self.normalise(t or "") for t in texts]
+        docs = np.cumsum([0, *map(len, plain)])
+        flat = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), np.uint32)
+        if not len(flat):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        flat, starts = self.__dict__["_store"]
-        sizes = starts[codes + 1] - starts[codes]
-        ends = np.cumsum(sizes)
-        ids = flat[np.arange(ends[-1]) + np.repeat(starts[codes] - (ends - sizes), sizes)]
-        return ids, np.concatenate([[0], ends])[words]
+        of, beside = self.chars
+        kind = of[flat]
+        start = np.append(True, ~beside[kind[:-1], kind[1:]])
+        start[docs[:-1][docs[:-1] < len(flat)]] = True
+        starts = np.flatnonzero(start)
+        ends = np.append(starts[1:], len(flat))
+        total = np.zeros(len(flat) + 1, np.uint64)
+        np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(flat)), out=total[1:])
+        keys = mix64((total[ends] - total[starts]) * powers(pow(_BASE, -1, 1 << 64), len(flat))[starts] + (ends - starts).astype(np.uint64))
+        some, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        known = self.__dict__["_store"][0] if "_store" in self.__dict__ else np.zeros(0, np.uint64)
+        at = np.searchsorted(known, some)
+        new = at == len(known)
+        new[~new] = known[at[~new]] != some[~new]
+        if new.any():
+            if len(known) + new.sum() > REMEMBER:
+                new[:] = True
+            self._learn(flat, some[new], starts[first[new]], ends[first[new]])
+        known, codes, ids, cuts = self.__dict__["_store"]
+        codes = codes[np.searchsorted(known, some)][back]
+        sizes = cuts[codes + 1] - cuts[codes]
+        stops = np.cumsum(sizes)
+        out = ids[np.arange(stops[-1]) + np.repeat(cuts[codes] - (stops - sizes), sizes)]
+        return out, np.concatenate([[0], stops])[np.searchsorted(starts, docs)]
 
     @cached_property
-    def spelling(self) -> list[str | int]:
-        return [int(p[3:5], 16) if k == BYTE else "" if k == CONTROL else " ⁇ " if k == UNKNOWN else p.replace(SPACE, " ") for p, k in zip(self.pieces, self.kinds, strict=True)]
-
-    def decode(self, ids: np.ndarray) -> str:
-        spelling = self.spelling
-        parts = [spelling[i] for i in ids.tolist()]
-        try:
-            text = "".join(parts)
-        except TypeError:  # bytes among them
-            out = bytearray()
-            for p in parts:
-                if isinstance(p, int):
-                    out.append(p)
-                else:
-                    out += p.encode("utf-8", "surrogatepass")
-            text = out.decode("utf-8", "replace")
-        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+    def spelling(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all pieces in a row, and where each piece's begin."""
+        one = lambda p, k: bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else (" ⁇ " if k == UNKNOWN else p.replace(SPACE, " ")).encode("utf-8", "surrogatepass")
+        spelt = [one(p, k) for p, k in zip(self.pieces, self.kinds, strict=True)]
+        return np.frombuffer(b"".join(spelt), np.uint8), np.cumsum([0, *map(len, spelt)])
+
+    def decode(self, ids: np.ndarray, starts: np.ndarray) -> list[str]:
+        """The texts of ids in a row, of which each text's begin at ``starts``."""
+        data, cuts = self.spelling
+        sizes = cuts[ids + 1] - cuts[ids]
+        stops = np.concatenate([[0], np.cumsum(sizes)])
+        out = data[np.arange(stops[-1]) + np.repeat(cuts[ids] - stops[:-1], sizes)].tobytes()
+        at = stops[starts]
+        skip = self.dummy_prefix
+        return [out[a + (skip and out[a : a + 1] == b" ") : b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def _encoded(shared):
@@ -312,7 +379,7 @@ def _encoded(shared):
             for part in slices(batch, "text", SLICE):
                 texts = part.column("text").to_pylist()
                 ids, starts = model.encode(texts)
-                back = [t is None or model.decode(ids[a:b]) == t for t, a, b in zip(texts, starts[:-1], starts[1:], strict=True)]
+                back = [t is None or t == x for t, x in zip(texts, model.decode(ids, starts), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
@@ -329,8 +396,11 @@ def _encoded(shared):
 def _decoded(shared):
     def run(batches):
         for batch in batches:
-            texts = [None if ids is None else shared.value.decode(np.array([i for i in ids if i is not None], np.int64)) for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+            lists = [[i for i in x or [] if i is not None] for x in batch.column("ids").to_pylist()]
+            flat = np.fromiter((i for x in lists for i in x), np.int64)
+            texts = shared.value.decode(flat, np.cumsum([0, *map(len, lists)]))
+            known = batch.column("ids").is_valid().to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([t if k else None for t, k in zip(texts, known, strict=True)], pa.string())], ["doc_id", "text"])
 
     return run
 
@@ -338,7 +408,10 @@ def _decoded(shared):
 def load(path: str = MODEL_PATH) -> Pieces:
     """Read a model file on the driver; executors get the vocabulary (a few MB) by broadcast, not by path."""
     with open(path, "rb") as f:
-        return Pieces.parse(f.read())
+        model = Pieces.parse(f.read())
+    if model.model == BPE:
+        model.split  # noqa: B018 - worked out once, sent along
+    return model
 
 
 def encode(documents: DataFrame, *, path: str = MODEL_PATH) -> DataFrame:
