@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, lines, mixing, near, pieces, rules, sharding, topk
+from . import classifier, html_text, lines, mixing, near, pieces, rules, sharding, topk
 from .common import table
 
 #: Bytes of text in a shard. Production shards are larger; this keeps several even in the small tables.
@@ -39,6 +39,11 @@ SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN 2 * c - siz
 """
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of at most SHARD_BYTES."""
     return sharding.shard(table(spark, sf_dir, "documents"), max_bytes=SHARD_BYTES)
@@ -111,6 +116,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_html_extraction": op2_html_extraction,
     "op3_sharding": op3_sharding,
     "op4_top_k": op4_top_k,
     "op5_sentencepiece": op5_sentencepiece,
