@@ -38,7 +38,7 @@ def _text(s: Column, e: Column) -> Column:
     return F.array_join(F.slice(F.col("lines"), s + 1, e - s), "\n")
 
 
-def line_dedup(documents: DataFrame) -> DataFrame:
+def line_dedup(documents: DataFrame, *, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove every repeat of a multi-line chunk (two non-blank lines or more) but its first occurrence.
 
     First is the smallest (doc_id, line). Chunks meet by md5; before a chunk
@@ -46,7 +46,8 @@ def line_dedup(documents: DataFrame) -> DataFrame:
     are split at \\n only. Rows that share a doc_id share one place in the
     order: a chunk first seen there stays in all of them.
 
-    Returns doc_id, text (what is left), n_lines, n_removed. Null text stays
+    Returns doc_id, text (what is left), n_lines, n_removed, and the columns
+    named in ``carry``. Null text stays
     null with 0 lines; empty text is one line. Empty table: empty. Other
     columns are ignored.
     """
@@ -65,10 +66,11 @@ def line_dedup(documents: DataFrame) -> DataFrame:
     repeated = spread.groupBy("h").agg(first, F.count("*").alias("n")).where("n > 1").select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.s").alias("s"), F.col("first.e").alias("e"))
 
     # The bytes of each first occurrence, then the places that repeat them. Both meet the texts in one shuffle by doc_id.
-    texts = documents.select("doc_id", "text").where("text is not null")
+    texts = documents.select("doc_id", "text", *carry)
     firsts = repeated.groupBy(F.col("doc_id").alias("mark_id")).agg(F.collect_set(F.struct("s", "e", "h")).alias("marks"))
     canon = (
         texts.join(firsts, F.col("doc_id").eqNullSafe(F.col("mark_id")))
+        .where("text is not null")
         .select("doc_id", F.split("text", "\n", -1).alias("lines"), F.explode("marks").alias("m"))
         .select(F.col("doc_id").alias("first_id"), F.col("m.s").alias("first_s"), F.col("m.h").alias("h"), _text(F.col("m.s"), F.col("m.e")).alias("bytes"))
         .dropDuplicates(["h", "bytes"])
@@ -79,9 +81,9 @@ def line_dedup(documents: DataFrame) -> DataFrame:
 
     same = lambda m: F.coalesce(_text(m["s"], m["e"]) == m["bytes"], F.lit(False))
     cut = (
-        documents.select("doc_id", "text")
+        documents.select("doc_id", "text", *carry)
         .join(marks, F.col("doc_id").eqNullSafe(F.col("mark_id")), "left")
-        .select("doc_id", "text", F.split("text", "\n", -1).alias("lines"), "marks")
+        .select("doc_id", "text", F.split("text", "\n", -1).alias("lines"), "marks", *carry)
         .withColumn("gone", F.transform(F.filter("marks", same), lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"))))
         .withColumn("left", F.filter("lines", lambda x, i: ~F.exists("gone", lambda g: (i >= g["s"]) & (i < g["e"]))))
     )
@@ -91,4 +93,5 @@ def line_dedup(documents: DataFrame) -> DataFrame:
         F.when(touched, F.array_join("left", "\n")).otherwise(F.col("text")).alias("text"),
         F.coalesce(F.array_size("lines"), F.lit(0)).cast("long").alias("n_lines"),
         F.when(touched, F.size("lines") - F.size("left")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
+        *carry,
     )

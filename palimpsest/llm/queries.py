@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, html_text, lines, mixing, near, pieces, rules, sharding, topk
+from . import classifier, html_text, lines, mixing, near, pieces, rules, sharding, surrogates, topk
 from .common import table
 
 #: Bytes of text in a shard. Production shards are larger; this keeps several even in the small tables.
 SHARD_BYTES = 1 << 20
 
+#: Key of the surrogates. In production it comes from a secret store.
+PII_KEY = "not a secret"
+
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed: sources weigh 5, 2, 1 in turn and share 150% of all words, each at most twice."""
@@ -114,6 +117,11 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates for personal data and secrets."""
+    return surrogates.anonymise(table(spark, sf_dir, "documents"), key=PII_KEY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_html_extraction": op2_html_extraction,
@@ -124,5 +132,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_near_dedup": op7_near_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_pii": op10_pii,
 }
 SQL: dict[str, str] = {"op1_mixing": OP1_SQL, "op3_sharding": OP3_SQL, "op4_top_k": OP4_SQL, "op6_line_dedup": OP6_SQL}

@@ -103,7 +103,9 @@ def log_ratios(documents: DataFrame, trusted: DataFrame) -> np.ndarray:
     return np.log((target + SMOOTH * share) / ((raw + SMOOTH) * share)) if share else np.zeros(len(raw))
 
 
-def _judge(ratios: np.ndarray, least: float):
+def _judge(ratios: np.ndarray, least: float, carry: tuple[str, ...]):
+    more = ("text", *carry) if carry else ()
+
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
@@ -115,14 +117,14 @@ def _judge(ratios: np.ndarray, least: float):
                 mean = np.round(total / np.maximum(n, 1), 9)
                 failed = base_failed(stats)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *map(pa.array, stats.values()), pa.array(failed), pa.array(mean), pa.array(~failed & (mean >= least))],
-                    ["doc_id", *stats, "base_failed", "ratio", "kept"],
+                    [part.column("doc_id"), *map(pa.array, stats.values()), pa.array(failed), pa.array(mean), pa.array(~failed & (mean >= least)), *(part.column(c) for c in more)],
+                    ["doc_id", *stats, "base_failed", "ratio", "kept", *more],
                 )
 
     return run
 
 
-def judge(documents: DataFrame, trusted: DataFrame, *, least: float = LEAST_RATIO) -> DataFrame:
+def judge(documents: DataFrame, trusted: DataFrame, *, least: float = LEAST_RATIO, carry: tuple[str, ...] = ()) -> DataFrame:
     """Statistics and verdict of every row (doc_id, text); ``trusted`` (doc_id) names the target documents.
 
     Two multinomials over hashed n-grams of up to ORDER words are counted,
@@ -132,11 +134,15 @@ def judge(documents: DataFrame, trusted: DataFrame, *, least: float = LEAST_RATI
     and ratio >= ``least``. No sampling: equal texts get equal verdicts.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, ratio, kept. Null or empty text: zeros,
+    n_repeat_words, base_failed, ratio, kept, and text with the columns named
+    in ``carry`` if there are any. Null or empty text: zeros,
     base_failed. Null doc_id: judged, never trusted. Repeated rows: each on
     its own. Empty table: empty; no trusted rows: ratio 0. Other
     columns are ignored.
     """
     ratios = log_ratios(documents, trusted)
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, ratio double, kept boolean"
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(_judge(ratios, least), schema)
+    rows = documents.select(F.col("doc_id").cast("long"), "text", *carry)
+    if carry:
+        schema += "".join(f", {c} {kind}" for c, kind in rows.dtypes[1:])
+    return rows.mapInArrow(_judge(ratios, least, carry), schema)
