@@ -1,0 +1,134 @@
+"""Detection rules as data: built-in patterns, rule packs from JSON, and the rewrite to Java's regular expressions."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+ENTITY_TYPES = ("PERSON", "EMAIL", "PHONE", "SSN", "CREDIT_CARD", "DATE", "CURRENCY", "IP_ADDRESS", "IBAN", "ADDRESS", "COMPANY", "SECRET", "API_KEY", "OTHER")
+PACK_SCHEMA = (
+    "region string, rules array<struct<id:string,entityType:string,pattern:string,flags:string,confidence:double,"
+    "domains:array<string>,description:string,examples:array<string>,validate:string,multiline:boolean>>"
+)
+
+
+@dataclass(frozen=True)
+class Rule:
+    """need: a cheap pattern without which the rule can't match; lines that lack it skip the rule."""
+
+    region: str
+    name: str
+    type: str
+    pattern: str
+    confidence: float
+    validate: str | None = None
+    flags: str = "g"
+    need: str | None = None
+    multiline: bool = False
+
+    @property
+    def detector(self) -> str:
+        return f"regex:{self.region}:{self.name}"
+
+
+def java_pattern(pattern: str, flags: str = "g") -> str:
+    r"""Make ``\b`` and ``\s`` mean what they mean in the rule packs: ASCII word edges, all Unicode white space."""
+    space = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+    edge = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+    out, at, inside = [], 0, False
+    while at < len(pattern):
+        two = pattern[at : at + 2]
+        if two[0] == "\\" and len(two) == 2:
+            out.append(edge if two == r"\b" and not inside else (space if inside else f"[{space}]") if two == r"\s" else two)
+            at += 2
+            continue
+        inside = two[0] == "[" or inside and two[0] != "]"
+        out.append(r"\[" if two[0] == "[" and out and inside and _open(out) else two[0])
+        at += 1
+    mode = ("i" if "i" in flags else "") + ("u" if "u" in flags and "i" in flags else "")
+    return (f"(?{mode})" if mode else "") + "".join(out)
+
+
+def _open(out: list[str]) -> bool:
+    """Whether a class is open at the end of what is written: Java takes a second ``[`` there for a nested class."""
+    inside = False
+    for piece in out:
+        inside = piece == "[" or inside and piece != "]"
+    return inside
+
+
+# Patterns, confidences and checks of the built-in rules.
+RULES: tuple[Rule, ...] = (
+    Rule("universal", "email", "EMAIL", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", 0.95, need="@"),
+    Rule("universal", "phone_intl", "PHONE", r"\+\d[\d\s()-]{7,18}\d", 0.85, need=r"\+"),
+    Rule("universal", "iban", "IBAN", r"\b[A-Z]{2}\s?\d{2}\s?[A-Z\d\s]{9,29}[A-Z\d]\b", 0.9, "iban_mod97", need=r"[A-Z]{2}\s?\d{2}"),
+    Rule("universal", "credit_card", "CREDIT_CARD", r"\b\d{4}[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{1,7}\b", 0.9, "luhn", need=r"\d{4}"),
+    Rule("universal", "currency_symbol_prefix", "CURRENCY", r"[$€£¥₹₽₩₺₴]\s?\d{1,3}(?:[,.\s]\d{3})*(?:[.,]\d{1,2})?\b", 0.8, need="[$€£¥₹₽₩₺₴]"),
+    Rule("universal", "currency_code_suffix", "CURRENCY", r"\b\d{1,3}(?:[,.\s]\d{3})*(?:[.,]\d{1,2})?\s?(?:USD|EUR|GBP|CHF|JPY|PLN|SEK|NOK|DKK|CZK|HUF|CAD|AUD|CNY)\b", 0.8, need=r"\d\s?[A-Z]{3}"),
+    Rule("universal", "ipv4", "IP_ADDRESS", r"\b(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\b", 0.9, "ip_octets", need=r"\d\.\d"),
+    Rule("universal", "ipv6", "IP_ADDRESS", r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b", 0.9, need=":"),
+    Rule("universal", "mac_address", "OTHER", r"\b[0-9a-fA-F]{2}(?::[0-9a-fA-F]{2}){5}\b", 0.85, need=":"),
+    Rule("universal", "date_numeric", "DATE", r"\b\d{1,2}[./]\d{1,2}[./]\d{4}\b", 0.75, need=r"\d[./]\d"),
+    Rule("universal", "date_iso", "DATE", r"\b\d{4}-\d{2}-\d{2}\b", 0.8, need=r"\d-\d"),
+    Rule("universal", "date_word", "DATE", r"\b\d{1,2}\s+[\p{L}]{3,}\s+\d{4}\b", 0.8, flags="gu", need=r"\d{4}"),
+    Rule("universal", "long_number", "SSN", r"(?<![.\d])\b\d[\d\s-]{7,}\d\b(?![.\d])", 0.5, need=r"\d"),
+    Rule("universal", "aws_access_key", "API_KEY", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", 0.95, need="A[KS]IA"),
+    Rule("universal", "github_token", "API_KEY", r"\bgh[pousr]_[A-Za-z0-9]{36,255}\b", 0.95, need="gh[pousr]_"),
+    Rule("universal", "slack_token", "API_KEY", r"\bxox[abprs]-[A-Za-z0-9-]{10,64}\b", 0.95, need="xox"),
+    Rule("universal", "private_key_block", "SECRET", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[\s\S]*?-----END (?:[A-Z]+ )*PRIVATE KEY-----", 0.99, need="-----BEGIN", multiline=True),
+    Rule("universal", "jwt", "SECRET", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b", 0.95, need="eyJ"),
+    Rule("universal", "secret_assignment", "SECRET", r"\b(?:api[_-]?key|secret|token|passwd|password)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9+/_.=-]{16,256}", 0.75, "secret_assignment", "gi", "[:=]"),
+    Rule("universal", "high_entropy_token", "SECRET", r"\b[A-Za-z0-9][A-Za-z0-9+/]{39,}={0,2}", 0.6, "high_entropy_token", need="[A-Za-z0-9+/]{40}"),
+    Rule("us", "ssn", "SSN", r"\b(?!000|666|9\d{2})[0-8]\d{2}-(?!00)\d{2}-(?!0000)\d{4}\b", 0.92, need=r"\d-\d"),
+    Rule("us", "npi", "SSN", r"\b\d{10}\b", 0.9, "npi", need=r"\d{10}"),
+    Rule("us", "dea", "SSN", r"\b[ABCDEFGHJKLMPRSTUX][A-Z]\d{7}\b", 0.92, "dea", need=r"[A-Z]\d{7}"),
+    Rule("us", "routing", "OTHER", r"\b(?:0\d|1[0-2]|2[1-9]|3[0-2]|6[1-9]|7[0-2]|80)\d{7}\b", 0.9, "aba", need=r"\d{9}"),
+    Rule("us", "phone", "PHONE", r"(?:\+1[-.\s]?)?(?:\([2-9]\d{2}\)[-.\s]?|[2-9]\d{2}[-.\s])[2-9]\d{2}[-.\s]\d{4}\b", 0.85, need=r"\d{4}"),
+    Rule("gb", "nino", "SSN", r"\b[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D]\b", 0.9, "nino", "gi", r"\d{2}"),
+    Rule("gb", "nhs", "SSN", r"\b\d{3}\s?\d{3}\s?\d{4}\b", 0.6, "nhs", need=r"\d{4}"),
+    Rule("gb", "sort_code", "OTHER", r"\b\d{2}-\d{2}-\d{2}\b", 0.65, need=r"\d-\d"),
+    Rule("gb", "postcode", "ADDRESS", r"\b[A-Z]{1,2}\d[A-Z\d]?\s?\d[A-Z]{2}\b", 0.8, flags="gi", need=r"\d"),
+    Rule("de", "steuerid", "SSN", r"\b\d{2}\s?\d{3}\s?\d{3}\s?\d{3}\b", 0.8, "steuer_id", need=r"\d{3}"),
+    Rule("fr", "nir", "SSN", r"\b[12]\s?\d{2}\s?\d{2}\s?\d{2}\s?\d{3}\s?\d{3}(?:\s?\d{2})?\b", 0.9, "nir", need=r"\d{3}"),
+    Rule("fr", "phone", "PHONE", r"\b0[1-9](?:\s?\d{2}){4}\b", 0.85, need=r"0\d"),
+    Rule("es", "dni", "SSN", r"\b\d{8}[A-Z]\b", 0.85, "dni", need=r"\d{8}"),
+    Rule("pl", "pesel", "SSN", r"\b\d{11}\b", 0.9, "pesel", need=r"\d{11}"),
+    Rule("pl", "nip", "SSN", r"\b\d{3}-?\d{3}-?\d{2}-?\d{2}\b", 0.85, "nip", need=r"\d{3}"),
+    Rule("it", "codice_fiscale", "SSN", r"\b[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z]\b", 0.95, "codice_fiscale", "gi", r"\d{2}[A-Za-z]\d{2}"),
+    Rule("nl", "bsn", "SSN", r"\b\d{9}\b", 0.7, "bsn", need=r"\d{9}"),
+    Rule("ch", "ahv", "SSN", r"\b756\.?\d{4}\.?\d{4}\.?\d{2}\b", 0.95, "ahv", need="756"),
+    Rule("no", "fodselsnummer", "SSN", r"\b\d{6}\s?\d{5}\b", 0.9, "fodselsnummer", need=r"\d{6}"),
+    Rule("se", "personnummer", "SSN", r"\b(?:\d{2})?\d{6}[-+]?\d{4}\b", 0.85, "personnummer", need=r"\d{6}"),
+    Rule("fi", "hetu", "SSN", r"\b\d{6}[-+A]\d{3}[0-9A-Y]\b", 0.95, "hetu", need=r"\d{6}"),
+    Rule("ie", "pps", "SSN", r"\b\d{7}[A-W][A-IW]?\b", 0.9, "pps", need=r"\d{7}"),
+)
+
+
+def for_region(region: str = "all", rules: Iterable[Rule] = RULES) -> list[Rule]:
+    """Rules of a region with the universal ones; ``all`` takes every rule."""
+    return [r for r in rules if region == "all" or r.region in ("universal", region)]
+
+
+def load_packs(spark: SparkSession, path: str) -> list[Rule]:
+    """Rules of JSON packs under ``path``; an unknown check is an error."""
+    from ..functions.validators import VALIDATORS
+
+    rows = spark.read.schema(PACK_SCHEMA).json(path, multiLine=True).select("region", F.posexplode("rules").alias("n", "r")).select("region", "n", "r.*")
+    out = []
+    for r in sorted(rows.collect(), key=lambda r: (r["region"] != "universal", r["region"], r["n"])):  # a few hundred rules
+        name = r["validate"] and "".join("_" + c.lower() if c.isupper() else c for c in r["validate"])
+        if name and name not in VALIDATORS:
+            raise ValueError(f"{r['id']}: unknown validator {r['validate']}")
+        if r["entityType"] not in ENTITY_TYPES:
+            raise ValueError(f"{r['id']}: unknown type {r['entityType']}")
+        out.append(Rule(r["region"], r["id"].split(":")[-1], r["entityType"], r["pattern"], r["confidence"], name, r["flags"] or "g", None, bool(r["multiline"])))
+    return out
+
+
+def rules_table(spark: SparkSession, rules: Iterable[Rule] = RULES) -> DataFrame:
+    """The dimension table of rules."""
+    rows = [(i, r.region, r.detector, r.type, r.pattern, r.flags, r.confidence, r.validate, r.multiline) for i, r in enumerate(rules)]
+    return spark.createDataFrame(rows, "rule_order int, region string, id string, entity_type string, pattern string, flags string, confidence double, validate string, multiline boolean")
