@@ -56,7 +56,7 @@ def fit_placeholder(gap: Column, font: Column, per_em: Column) -> Column:
     """How a placeholder of ``per_em`` widths is set in a gap: as it is, smaller (75 % or more), narrower too (80 % or more), or over."""
     width = per_em * font
     ratio = F.when(width > 0, gap / width).otherwise(F.lit(1.0))
-    stage = F.when(ratio >= 1, "fits").when(ratio >= 0.75, "shrink").when(ratio >= 0.75 * 0.8, "condense").otherwise("overflow")
+    stage = F.when(ratio >= 1, "fits").when(ratio >= 0.75, "shrink").when(ratio >= 0.6, "condense").otherwise("overflow")
     size = F.when(ratio >= 1, font).when(ratio >= 0.75, font * ratio).otherwise(font * 0.75)
     scale = F.when(ratio >= 0.75, F.lit(1.0)).when(ratio >= 0.6, ratio / 0.75).otherwise(F.lit(0.8))
     return F.struct(stage.alias("stage"), size.alias("font_size"), scale.alias("hscale"), (per_em * size * scale).alias("width"))

@@ -154,10 +154,10 @@ c AS (SELECT w.doc_id, w.detector, w.start AS ws, w."end" AS we, s.start AS cs,
    ON s.doc_id = w.doc_id AND s.confidence >= 0.8 AND s.start < w."end" AND s."end" > w.start)"""
 
 
-@query("catch_all_gaps", f"""WITH {_INSIDE}, p AS (SELECT doc_id, detector, ws, we, unnest(range(ws, we)) AS at FROM (SELECT DISTINCT doc_id, detector, ws, we FROM c)),
-free AS (SELECT p.* FROM p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = p.doc_id AND c.ws = p.ws AND c.we = p.we AND p.at >= c.cs AND p.at < c.ce)),
-isl AS (SELECT *, at - row_number() OVER (PARTITION BY doc_id, detector, ws, we ORDER BY at) AS g FROM free)
-SELECT doc_id, detector, min(at)::INT AS start, (max(at) + 1)::INT AS "end" FROM isl GROUP BY doc_id, detector, ws, we, g""")
+@query("catch_all_gaps", f"""WITH {_INSIDE}, p AS (SELECT doc_id, detector, ws, we, unnest(range(ws, we)) AS pos FROM (SELECT DISTINCT doc_id, detector, ws, we FROM c)),
+free AS (SELECT p.* FROM p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = p.doc_id AND c.ws = p.ws AND c.we = p.we AND p.pos >= c.cs AND p.pos < c.ce)),
+isl AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, detector, ws, we ORDER BY pos) AS g FROM free)
+SELECT doc_id, detector, min(pos)::INT AS start, (max(pos) + 1)::INT AS "end" FROM isl GROUP BY doc_id, detector, ws, we, g""")
 def catch_all_gaps(spark, d):
     return spans.catch_all_gaps(mixed(spark, d))
 
@@ -291,12 +291,12 @@ def entropy(spark, d):
     return rows.withColumn("bits", F.round(shannon_entropy(F.col("word")), 6) + F.lit(0.0))
 
 
-@query("excel_serial_date", """SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity * 1000 >= 1 THEN (CASE WHEN l_quantity * 1000 < 60 THEN DATE '1899-12-31' ELSE DATE '1899-12-30' END) + (floor(l_quantity * 1000))::INT END AS day FROM lineitem""")
+@query("excel_serial_date", """SELECT l_orderkey, l_linenumber, (CASE WHEN l_quantity * 1000 >= 1 THEN (CASE WHEN l_quantity * 1000 < 60 THEN DATE '1899-12-31' ELSE DATE '1899-12-30' END) + (floor(l_quantity * 1000))::INT END)::DATE::VARCHAR AS day FROM lineitem""")
 def excel_serial_date(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.excel_date(F.col("l_quantity").cast("double") * 1000).alias("day"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.excel_date(F.col("l_quantity").cast("double") * 1000).cast("string").alias("day"))
 
 
-_FIT = "CASE WHEN r >= 1 THEN 'fits' WHEN r >= 0.75 THEN 'shrink' WHEN r >= 0.75 * 0.8 THEN 'condense' ELSE 'overflow' END"
+_FIT = "CASE WHEN r >= 1 THEN 'fits' WHEN r >= 0.75 THEN 'shrink' WHEN r >= 0.6::DOUBLE THEN 'condense' ELSE 'overflow' END"
 
 
 @query("fit_placeholder", f"SELECT l_orderkey, l_linenumber, {_FIT} AS stage FROM (SELECT *, l_quantity::DOUBLE / (5.0::DOUBLE * 6.0::DOUBLE) AS r FROM lineitem)")
@@ -325,8 +325,8 @@ def package_part_classify(spark, d):
 
 
 @query("coverage_metric", f"""WITH {_MIXED}, g AS (SELECT DISTINCT doc_id, start, "end" FROM spans WHERE ordinal < 3), p AS (SELECT doc_id, start AS ps, "end" AS pe FROM spans WHERE ordinal = 3),
-ch AS (SELECT doc_id, start, "end", unnest(range(start, "end")) AS at FROM g)
-SELECT doc_id, start, "end", round(avg(CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.doc_id = ch.doc_id AND at >= ps AND at < pe) THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM ch GROUP BY ALL""")
+ch AS (SELECT doc_id, start, "end", unnest(range(start, "end")) AS pos FROM g)
+SELECT doc_id, start, "end", round(avg(CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.doc_id = ch.doc_id AND pos >= ps AND pos < pe) THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM ch GROUP BY ALL""")
 def coverage_metric(spark, d):
     rows = mixed(spark, d)
     found = metrics.coverage(rows.where("ordinal < 3").select("doc_id", "start", "end").distinct(), rows.where("ordinal = 3"))
