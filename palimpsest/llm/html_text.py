@@ -176,10 +176,10 @@ def _repeats(run: int):
         cls = windows(codes, pages, run)
         at = np.flatnonzero(cls >= 0)
         if not len(at):
-            return pd.DataFrame({"host": [], "h": [], "pages": []})
+            return pd.DataFrame({"host": pd.Series([], dtype=object), "h": np.zeros(0, np.int64), "pages": np.zeros(0, np.int64)})
         pairs = np.unique(np.stack([cls[at], pages[at]]), axis=1)
         some, first = np.unique(cls[at], return_index=True)
-        return pd.DataFrame({"host": pdf["host"].iloc[0], "h": _window_hash(codes, at[first], run), "pages": np.bincount(np.searchsorted(some, pairs[0]))})
+        return pd.DataFrame({"host": pd.Series([pdf["host"].iloc[0]] * len(some), dtype=object), "h": _window_hash(codes, at[first], run), "pages": np.bincount(np.searchsorted(some, pairs[0]))})
 
     return work
 

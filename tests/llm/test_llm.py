@@ -1,0 +1,253 @@
+"""Corpus operators on small fixtures: brute force, edge cases, exact round trips."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+
+from palimpsest.llm import classifier, html_text, lines, mixing, near, pieces, rules, sharding, surrogates, topk
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, v string, cls string, h string, hits string"
+
+
+def docs(spark, rows):
+    """Rows (doc_id, text, source) with columns whose names the operators use inside."""
+    return spark.createDataFrame([(i, t, "en", s, 0, "x", "x", "x", "x") for i, t, s in rows], SCHEMA)
+
+
+def text_of(seed, n, words=400):
+    r = random.Random(seed)
+    return " ".join(f"w{r.randrange(words)}" for _ in range(n))
+
+
+ODD = [(1, None, "a"), (2, "", "a"), (None, "some words here", None), (4, " \n\t ", None), (5, "x" * 200_000 + " y", "b"), (6, "same row twice", "b"), (6, "same row twice", "b")]
+
+
+def test_mixing(spark):
+    rows = [(i, text_of(i, 5 + i % 30), ["a", "b", "c", None][i % 7 % 4]) for i in range(300)]
+    out = mixing.mix(docs(spark, rows)).collect()
+    sizes = {}
+    for r in out:
+        sizes.setdefault(r.source, [r.source_size, r.target, 0])[2] += r.taken
+        assert r.taken in (0, r.size, 2 * r.size)
+    assert abs(sum(t for _, t, _ in sizes.values()) - 1.5 * sum(s for s, _, _ in sizes.values())) < 1e-6
+    for size, target, taken in sizes.values():
+        assert target <= 2 * size and abs(taken - target) <= 40
+    again = {(r.doc_id, r.taken) for r in mixing.mix(docs(spark, rows[::-1])).collect()}
+    assert again == {(r.doc_id, r.taken) for r in out}
+    assert len(mixing.mix(docs(spark, ODD)).collect()) == len(ODD)
+    assert mixing.mix(docs(spark, [])).count() == 0
+    copies = mixing.repeat_rows(docs(spark, rows), mixing.mix(docs(spark, rows)))
+    assert copies.columns == docs(spark, []).columns
+    assert copies.count() == sum(r.repeats for r in out)
+
+
+def test_sharding(spark):
+    rows = [(i, "t" * random.Random(i).randrange(2000), "a") for i in range(400)] + [(9, "t" * 900, "a")] * 30 + [(10_000, "z" * 50_000, "a"), (None, None, None)]
+    out = sharding.shard(docs(spark, rows), max_bytes=8000, overhead=0).collect()
+    assert len(out) == len(rows)
+    load = {}
+    for r in out:
+        load.setdefault((r.depth, r.prefix, r.part), []).append(r.n_bytes)
+    assert all(sum(x) <= 8000 or len(x) == 1 for x in load.values())
+    assert all(sum(load[r.depth, r.prefix, r.part]) == r.shard_bytes for r in out)
+    assert sharding.shard(docs(spark, [])).count() == 0
+
+
+def test_line_dedup(spark):
+    block = "\n".join(text_of(7 + k, 9) for k in range(12))
+    own = lambda k: "\n".join(text_of(1000 * k + j, 8) for j in range(6))
+    rows = [(k, own(k) + "\n" + block + "\n" + own(k + 50), "a") for k in range(1, 6)]
+    out = {r.doc_id: r for r in lines.line_dedup(docs(spark, rows)).collect()}
+    assert out[1].text == rows[0][1] and out[1].n_removed == 0
+    for k in range(2, 6):
+        assert own(k) in out[k].text or own(k).split("\n")[0] in out[k].text
+        assert out[k].n_removed >= 4 and out[k].n_lines == 24
+        assert all(x in rows[k - 1][1].split("\n") for x in out[k].text.split("\n"))
+    odd = lines.line_dedup(docs(spark, ODD)).collect()
+    assert sorted((r.text is None, r.text or "") for r in odd) == sorted((t is None, t or "") for _, t, _ in ODD)
+    assert lines.line_dedup(docs(spark, [])).count() == 0
+
+
+def test_near_duplicates(spark):
+    rows = []
+    for g in range(12):
+        base = text_of(g, 60 + 20 * g, 5000).split()
+        for c in range(8):
+            r = random.Random(100 * g + c)
+            rows.append((len(rows), " ".join(w if r.random() > 0.02 * c / 2 else f"n{r.randrange(10**6)}" for w in base), "a"))
+    rows += [(900, "One Two", "a"), (901, "one two", "a"), (902, "one", "a"), *[(910 + r[0], r[1], r[2]) for r in ODD if r[1] is None or not WORD.findall(r[1])]]
+    sets = {}
+    for i, t, _ in rows:
+        w = WORD.findall((t or "").lower())
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    parent = {i: i for i in sets}
+    find = lambda x: x if parent[x] == x else find(parent[x])
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    out = {r.doc_id: r for r in near.near_duplicates(docs(spark, rows)).collect()}
+    assert {i: r.component_id for i, r in out.items()} == {i: find(i) for i in sets}
+    assert all(r.kept == (r.doc_id == r.component_id) and r.n_shingles == len(sets[i]) for i, r in out.items())
+
+
+def test_near_duplicates_odd_rows(spark):
+    assert near.near_duplicates(docs(spark, ODD)).count() == len(ODD)
+    assert near.near_duplicates(docs(spark, [])).count() == 0
+
+
+def brute_stats(text):
+    w = WORD.findall(text or "")
+    places = {}
+    for k in range(len(w) - 4):
+        places.setdefault(tuple(w[k : k + 5]), []).append(k)
+    covered = {k + j for v in places.values() if len(v) > 1 for k in v for j in range(5)}
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(covered)
+
+
+def test_quality_rules(spark):
+    rows = [(i, text_of(i, 30, 40) + "\nüß x\nüß x", "a") for i in range(20)] + [(50, "a b c d e f " * 9, "a"), (51, "%%% ### junk|" * 20, "a")] + [(i and 100 + i, t, s) for i, t, s in ODD]
+    good = spark.createDataFrame([(i,) for i in range(0, 20, 2)], "doc_id long")
+    out = rules.judge(docs(spark, rows), good).collect()
+    expect = {t: brute_stats(t) for _, t, _ in rows}
+    texts = {i: t for i, t, _ in rows}
+    for r in out:
+        got = (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)
+        assert got == expect[texts[r.doc_id]]
+        assert r.base_failed == (got[0] < 10 or 100 * got[4] > 20 * got[0])
+        assert not (r.kept and r.base_failed)
+    assert len(out) == len(rows)
+    assert rules.judge(docs(spark, []), good).count() == 0
+
+
+def test_classifier(spark):
+    rows = [(i, text_of(i, 40) if i % 4 else " ".join(f"j{k}%%% A|" for k in range(40)), "a") for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(0, 400, 3)], "doc_id long, quality int, toxic int")
+    out = classifier.classify(docs(spark, rows), labels).collect()
+    held = [r for r in out if r.held_out]
+    assert held and sum(r.predicted == int(r.doc_id % 4 > 0) for r in held) >= 0.9 * len(held)
+    assert all(0 <= r.score <= 1 for r in out)
+    empty = labels.where("false")
+    assert {r.score for r in classifier.classify(docs(spark, ODD), empty).collect()} == {0.5}
+
+
+def test_top_k(spark):
+    r = np.random.default_rng(5)
+    rows = [(int(i), [float(x) for x in v]) for i, v in zip(range(0, 700), r.normal(size=(700, 37)), strict=True)]
+    rows += [(100, rows[100][1]), (1001, None), (1002, [1.0, None]), (1003, [float("nan")]), (1004, []), (1005, [3.0, 4.0])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, own string")
+    good = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    expect = []
+    for n, (q, a) in enumerate(good):
+        if q % 100 == 0:
+            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for m, (i, b) in enumerate(good) if m != n)
+            expect += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:10])]
+    assert sorted(tuple(x) for x in topk.top_k(df).collect()) == sorted(expect)
+    assert topk.top_k(df.where("false")).count() == 0
+
+
+def test_top_k_large_numbers(spark):
+    df = spark.createDataFrame([(0, [1e9, 2.0]), (1, [1e9, 3.0]), (2, [-1e9, 1.0])], "vec_id long, embedding array<double>")
+    a, b = 1024 * 10**9, 1024
+    assert [(x.vec_id, x.score) for x in topk.top_k(df).orderBy("rank").collect()] == [(1, min(a * a + 6 * b * b, (1 << 63) - 1)), (2, max(-a * a + 2 * b * b, -(1 << 63)))]
+
+
+def test_pieces_match_the_library():
+    library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=pieces.MODEL_PATH)
+    model = pieces.load()
+    r = random.Random(2)
+    texts = ["", " ", "  a  b ", "日本語 naïve", "😀 hi\t\n", "aaaaaaaaaaaaaaaaaaaaa", "a▁b"] + ["".join(r.choice("abcdehinorst eft  .,\n(){}éß中▁01") for _ in range(r.randint(1, 60))) for _ in range(500)]
+    ids, starts = model.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)] == library.encode(texts)
+    assert model.decode(ids, starts) == [library.decode(x) for x in library.encode(texts)]
+
+
+def test_unigram_against_all_paths():
+    names = ["<unk>", "▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "ca"]
+    kinds = np.array([pieces.UNKNOWN] + [pieces.NORMAL] * 9)
+    scores = np.array([0, -3, -2.5, -2.25, -3.5, -3.25, -4, -7, -4.75, -5.5])
+    model = pieces.Pieces(names, scores, kinds, pieces.UNIGRAM, True, False)
+
+    def best(s):
+        if not s:
+            return 0.0
+        return max((model.scores[i] + best(s[len(p) :]) for p, i in model.ids.items() if s.startswith(p)), default=-1e9)
+
+    r = random.Random(4)
+    texts = ["".join(r.choice("abc ") for _ in range(r.randint(1, 9))) for _ in range(60)]
+    ids, starts = model.encode(texts)
+    for t, a, b in zip(texts, starts[:-1], starts[1:], strict=True):
+        assert abs(scores[ids[a:b]].sum() - best(model.normalise(t))) < 1e-9
+    assert model.decode(ids, starts) == texts
+
+
+def test_encode_round_trip(spark):
+    rows = [(i, t, s) for i, (_, t, s) in enumerate(ODD)]
+    out = pieces.encode(docs(spark, rows))
+    assert all(r.round_trip for r in out.collect())
+    assert {r.doc_id: r.text or "" for r in pieces.decode(out).collect()} == {i: t or "" for i, t, _ in rows}
+    assert pieces.encode(docs(spark, [])).count() == 0
+
+
+def test_html(spark):
+    footer = "Read all our terms and the long notice about this site here"
+    page = lambda k: f"<nav><a>Home</a></nav><p>own text {k} unique words {k}</p><p>{footer}</p><script>x('</p>')</script>"
+    rows = [(k, f"http://h.example.com/{k}", page(k)) for k in range(4)]
+    rows += [(10, "http://a.b/c", "<div class='ad'>buy</div><article><h1>T &amp; U</h1><p>a <b>b\n c<br>d<p>e<aside>no</aside><div class=comments>no</div></article><footer>f</footer>"), (11, None, None), (12, "x", ""), (12, "x", "")]
+    df = spark.createDataFrame([(i, u, h, "x") for i, u, h in rows], "page_id long, url string, html string, host string")
+    out = {r.page_id: r for r in html_text.extract(df).collect()}
+    assert out[10].text == "T & U\n\na b c d\n\ne" and out[10].n_chars == len(out[10].text)
+    assert [out[k].text for k in range(4)] == [f"own text {k} unique words {k}" for k in range(4)]
+    assert out[11].text == "" and out[12].text == ""
+    assert html_text.extract(df.where("false")).count() == 0
+
+
+def test_windows_are_classes_of_equal_runs():
+    r = np.random.default_rng(1)
+    tokens, pages = r.integers(0, 3, 200), np.repeat(np.arange(10), 20)
+    got = html_text.windows(tokens, pages, 5)
+    runs = {}
+    for i in range(200):
+        whole = i + 5 <= 200 and pages[i] == pages[i + 4]
+        assert (got[i] >= 0) == whole
+        if whole:
+            assert runs.setdefault(tuple(tokens[i : i + 5]), got[i]) == got[i]
+    assert len(set(runs.values())) == len(runs)
+
+
+def test_pii(spark):
+    rows = [
+        (1, "Mail bob.smith@acme.com or BOB.SMITH@ACME.COM, ip 10.20.30.40, card 4111 1111 1111 1111, +1 (132) 555-1352", "a"),
+        (2, 'Mrs. Anna Kowalska and Mr Jan Kowalska, token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce", bob.smith@acme.com', "a"),
+        *ODD,
+    ]
+    out = {r.doc_id: r for r in surrogates.anonymise(docs(spark, rows), key="k").collect()}
+    one, two = out[1].text, out[2].text
+    for gone in ("acme", "10.20.30.40", "4111 1111", "555-1352", "Anna", "Jan", "Kowalska", "b44e15"):
+        assert gone.lower() not in (one + two).lower()
+    assert out[1].n_entities == 5 and out[2].n_entities == 4
+    mail = re.search(r"\S+@\S+[a-z]", one)[0]
+    assert mail in two and mail.upper() != mail
+    surnames = re.search(r"Mrs\. (\S+) (\S+) and Mr (\S+) (\S+),", two)
+    assert surnames[2] == surnames[4] and surnames[1] in surrogates.GIVEN["latin", "f"] and surnames[3] in surrogates.GIVEN["latin", "m"]
+    assert {i: r.text for i, r in out.items() if i in (4, 5, 6)} == {i: t for i, t, _ in ODD if i in (4, 5, 6)}
+    assert surrogates.anonymise(docs(spark, []), key="k").count() == 0
+
+
+def test_pii_surrogates_are_distinct(spark):
+    values = [(i, f"ip 172.16.{i // 250}.{i % 250 + 1} and 10.{i % 7}.0.{i % 250}", "a") for i in range(1500)]
+    before, after = {}, {}
+    for r in surrogates.anonymise(docs(spark, values), key="k").collect():
+        for old, new in zip(re.findall(r"[\d.]{7,}", values[r.doc_id][1]), re.findall(r"[\d.]{7,}", r.text), strict=True):
+            assert before.setdefault(old, new) == new
+            assert after.setdefault(new, old) == old
+    assert not set(before) & set(after)
