@@ -26,9 +26,9 @@ SYLLABLES = {
 
 _WORD = r"\p{Lu}[\p{L}\p{M}'’\-]+"
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=lambda t: -len(t)))
-_NAMES = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.?[  ](?:{_WORD}[  ]){{0,3}}{_WORD}"
+_NAMES = rf"(?=[{''.join(sorted({t[0] for ts in TITLES.values() for t in ts}))}])(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.?[  ](?:{_WORD}[  ]){{0,3}}{_WORD}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-_SECRET = r"(?<=(?i:token|secret|passwd|password|pwd|api.?key|access.?key|auth.?key|private.?key|credential)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?)(?![\"'])[A-Za-z0-9+/_.~=\-]{6,}+"
+_SECRET = r"(?<=[:=][ \t]{0,3}[\"']?)(?<=(?i:token|secret|passwd|password|pwd|api.?key|access.?key|auth.?key|private.?key|credential)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?)(?![\"'])[A-Za-z0-9+/_.~=\-]{6,}+"
 #: What counts as an entity, first match first.
 PATTERN = "|".join(
     (
@@ -45,8 +45,9 @@ PATTERN = "|".join(
         _NAMES,
     )
 )
-#: A cheap test that texts without any entity fail: a digit, an at sign, an assignment or a title.
-_MAYBE = rf"[0-9@=]|(?i:token|secret|passw|pwd|key|credential)[\"']?[ \t]{{0,3}}:|(?:{_TITLE})\.?[  ]\p{{Lu}}"
+#: A cheap test that texts without any entity fail: a digit, an at sign, an assignment or a title. One character class decides at most places.
+_FIRST = "".join(sorted({t[0] for ts in TITLES.values() for t in ts}))
+_MAYBE = rf"[0-9@=:]|(?=[{_FIRST}])(?:{_TITLE})\.?[  ]\p{{Lu}}"
 
 
 def _mod97(s: Column) -> Column:
@@ -212,7 +213,7 @@ def replaced(entities: DataFrame, key: str) -> DataFrame:
 
 
 def _mentions(text: Column) -> Column:
-    return F.when(text.rlike(_MAYBE), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
+    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
 def _parts(mentions: DataFrame) -> DataFrame:
@@ -259,17 +260,19 @@ def anonymise(documents: DataFrame, *, key: str) -> DataFrame:
     null, 0 mentions. Rows that share a doc_id: each replaced alike. Empty
     table: empty. Other columns are ignored.
     """
-    docs = documents.select("doc_id", "text").withColumn("hits", _mentions(F.col("text")))
-    some = F.coalesce(F.size("hits") > 0, F.lit(False))
-    dirty = docs.where(some)
-    mentions = stash(dirty.select("doc_id", F.explode(F.array_distinct("hits")).alias("hit")), "pii-mentions")
+    docs = documents.select("doc_id", "text")
+    maybe = F.coalesce(F.col("text").rlike(_MAYBE), F.lit(False))
+    dirty = docs.where(maybe)
+    mentions = stash(dirty.select("doc_id", F.explode(F.array_distinct(_mentions(F.col("text")))).alias("hit")), "pii-mentions")
     parts = stash(_parts(mentions.select("hit").distinct()), "pii-parts")
     chosen = replaced(parts.join(attempts(parts, key), ["kind", "canon"]), key)
     words = F.transform(F.sort_array(F.collect_list(F.struct("place", "new"))), lambda p: p["new"])
     title = F.when(F.first("kind").contains(":"), F.regexp_extract("hit", r"^\S+?[  ]", 0)).otherwise("")
     surrogates = stash(chosen.groupBy("hit").agg(F.concat(title, F.array_join(words, " ")).alias("new")), "pii-surrogates")
     marks = mentions.join(surrogates, "hit").groupBy(F.col("doc_id").alias("mark_id")).agg(F.map_from_entries(F.collect_set(F.struct("hit", "new"))).alias("marks"))
-    met = dirty.join(marks, F.col("doc_id").eqNullSafe(F.col("mark_id"))).withColumn("gaps", F.split("text", PATTERN, -1)).withColumn("new", F.transform("hits", lambda h: F.try_element_at("marks", h)))
+    known = F.col("marks").isNotNull()
+    met = dirty.join(marks, F.col("doc_id").eqNullSafe(F.col("mark_id")), "left").withColumn("hits", F.when(known, _mentions(F.col("text")))).withColumn("gaps", F.when(known, F.split("text", PATTERN, -1)))
+    met = met.withColumn("new", F.transform("hits", lambda h: F.try_element_at("marks", h)))
     text = F.array_join(F.transform("gaps", lambda g, i: F.concat(g, F.coalesce(F.get("new", i), F.lit("")))), "")
-    clean = docs.where(~some).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"))
-    return clean.unionByName(met.select("doc_id", text.alias("text"), F.size("hits").cast("long").alias("n_entities")))
+    changed = met.select("doc_id", F.when(F.col("hits").isNotNull(), text).otherwise(F.col("text")).alias("text"), F.coalesce(F.array_size("hits"), F.lit(0)).cast("long").alias("n_entities"))
+    return docs.where(~maybe).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities")).unionByName(changed)
