@@ -1,8 +1,9 @@
-"""Main text of web pages: the markup's own article, and a host-wide suffix array for what the markup leaves open."""
+"""Main text of web pages: the markup names what can be main text, a host-wide suffix array takes the boilerplate out of it."""
 
 from __future__ import annotations
 
 import re
+import zlib
 from html import unescape
 
 import numpy as np
@@ -12,12 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stash
-from .words import mix64, slices
+from .words import mix64
 
 #: Tokens of a run, and pages of a host it must stand on, to be boilerplate.
 RUN, PAGES = 8, 3
 #: Tokens of one suffix array; a host with more is dealt over several and their counts are added up.
 TOKENS = 400_000
+#: Characters of a page for each word, to reckon the number of arrays.
+LETTERS = 8
+#: The share of its words in repeated windows from which an article is a copy, not boilerplate.
+COPIED = 0.5
 
 MAIN, OPEN, CHROME = 0, 1, 2
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -148,106 +153,151 @@ def windows(tokens: np.ndarray, pages: np.ndarray, run: int) -> np.ndarray:
     return np.where(whole, rank, -1)
 
 
-def _streams(batches):
-    """The words outside the article of each page, as one stream of hashes, and which words belong to blocks the markup leaves open."""
-    for batch in batches:
-        for part in slices(batch, "html", 1 << 23):
-            keys, streams, opens = part.column("k").to_pylist(), [], []
-            for html in part.column("html").to_pylist():
-                found = blocks(html or "")
-                named = any(k == MAIN for k, _ in found)
-                words = [(w, k == OPEN and not named) for k, x in found if k != MAIN for w in x.split(" ")]
-                streams.append([w for w, _ in words])
-                opens.append(sum(o for _, o in words))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), part.column("host"), pa.array(streams, pa.list_(pa.string())), pa.array(opens, pa.int64()), pa.array(list(map(len, streams)), pa.int64())],
-                ["k", "host", "words", "n_open", "n"],
-            )
-
-
-def _repeats(run: int):
-    """Of one group of a host's pages: each distinct window, how many pages it stands on, and a hash that other groups share."""
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes = pdf["words"].map(len).to_numpy()
-        flat = np.concatenate(pdf["words"].to_list()) if sizes.sum() else np.zeros(0, object)
-        pages = np.repeat(np.arange(len(pdf)), sizes)
-        codes = pd.util.hash_array(flat.astype(object), categorize=True) if len(flat) else np.zeros(0, np.uint64)
-        cls = windows(codes, pages, run)
-        at = np.flatnonzero(cls >= 0)
-        if not len(at):
-            return pd.DataFrame({"host": pd.Series([], dtype=object), "h": np.zeros(0, np.int64), "pages": np.zeros(0, np.int64)})
-        pairs = np.unique(np.stack([cls[at], pages[at]]), axis=1)
-        some, first = np.unique(cls[at], return_index=True)
-        return pd.DataFrame({"host": pd.Series([pdf["host"].iloc[0]] * len(some), dtype=object), "h": _window_hash(codes, at[first], run), "pages": np.bincount(np.searchsorted(some, pairs[0]))})
-
-    return work
+def _words(found: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a page's words, and for each the number of its stretch: no window spans words of an article and others."""
+    words = [w for _, x in found for w in x.split(" ")]
+    codes = pd.util.hash_array(np.array(words, object), categorize=True) if words else np.zeros(0, np.uint64)
+    sizes = [x.count(" ") + 1 for _, x in found]
+    main = np.array([kind == MAIN for kind, _ in found], bool)
+    turns = np.cumsum(np.append(False, main[1:] != main[:-1])) if len(main) else np.zeros(0, np.int64)
+    return codes, np.repeat(turns, sizes)
 
 
 def _window_hash(codes: np.ndarray, at: np.ndarray, run: int) -> np.ndarray:
+    """48 bits for the ``run`` words from each place."""
     h = np.zeros(len(at), np.uint64)
     for i in range(run):
         h = mix64(h ^ codes[at + i])
-    return h.view(np.int64)
-
-
-def _left(run: int):
-    """What no repeated window covers, of each block the markup leaves open on a page."""
-
-    def work(batches):
-        for batch in batches:
-            rows = []
-            for k, html, bad in zip(batch.column("k").to_pylist(), batch.column("html").to_pylist(), batch.column("bad").to_pylist(), strict=True):
-                found = blocks(html or "")
-                words = [w for kind, x in found if kind != MAIN for w in x.split(" ")]
-                covered = np.zeros(len(words) + 1, np.int64)
-                if bad and len(words) >= run:
-                    codes = pd.util.hash_array(np.array(words, object), categorize=True)
-                    at = np.arange(len(words) - run + 1)
-                    hit = at[np.isin(_window_hash(codes, at, run), np.array(bad, np.int64))]
-                    np.add.at(covered, hit, 1)
-                    np.add.at(covered, hit + run, -1)
-                gone, place, kept = np.cumsum(covered) > 0, 0, []
-                for number, (kind, x) in enumerate(found):
-                    if kind == MAIN:
-                        continue
-                    n = len(x.split(" "))
-                    if kind == OPEN:
-                        own = " ".join(w for w, g in zip(words[place : place + n], gone[place : place + n], strict=True) if not g)
-                        if own:
-                            kept.append({"number": number, "text": own})
-                    place += n
-                rows.append((k, kept))
-            ks, kept = zip(*rows, strict=True) if rows else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(kept, pa.list_(pa.struct([("number", pa.int32()), ("text", pa.string())])))], ["k", "kept"])
+    return h >> np.uint64(16)
+
+
+def _pack(h: np.ndarray) -> bytes:
+    """Sorted 48-bit numbers as compressed planes of the bytes of their differences."""
+    steps = np.diff(h, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    return zlib.compress(np.ascontiguousarray(steps.T).tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(6, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, :6] = planes.T
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
+def _repeats(run: int, least: int):
+    """Of one group of a host's pages: hashes of its distinct windows by share of the hashes, and how many pages each stands on.
+    A host's only group leaves out windows on fewer than ``least`` pages."""
+
+    def work(key: tuple[pa.Scalar, ...], pages: pa.Table) -> pa.Table:
+        groups, streams, turns, seen = pages.column("groups")[0].as_py(), [], [], set()
+        for k, html in zip(pages.column("k").to_pylist(), pages.column("html").to_pylist(), strict=True):
+            if k not in seen:
+                seen.add(k)
+                codes, turn = _words(blocks(html or ""))
+                streams.append(codes)
+                turns.append(turn)
+        starts, start = [], 0
+        for turn in turns:
+            starts.append(turn + start)
+            start += int(turn[-1]) + 1 if len(turn) else 0
+        codes, stretch = np.concatenate(streams), np.concatenate(starts)
+        owner = np.repeat(np.arange(len(streams)), list(map(len, streams)))
+        cls = windows(codes, stretch, run)
+        at = np.flatnonzero(cls >= 0)
+        some, first, inverse = np.unique(cls[at], return_index=True, return_inverse=True)
+        pairs = np.unique(inverse * len(streams) + owner[at])
+        counts = np.minimum(np.bincount(pairs // len(streams), minlength=len(some)), 255)
+        h = _window_hash(codes, at[first], run)
+        if groups == 1:
+            h, counts = h[counts >= least], counts[counts >= least]
+        part = h % np.uint64(groups)
+        order = np.lexsort((h, part))
+        h, counts, part = h[order], counts[order].astype(np.uint8), part[order]
+        names, begins = np.unique(part, return_index=True)
+        rows = [(int(x), _pack(h[b:e]), zlib.compress(counts[b:e].tobytes(), 1)) for x, b, e in zip(names, begins, np.append(begins, len(h))[1:], strict=True)]
+        shares, packed, sizes = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.table([pa.array([key[0].as_py()] * len(rows), pa.string()), pa.array([key[1].as_py()] * len(rows), pa.int64()), pa.array(shares, pa.int64()), pa.array(packed, pa.binary()), pa.array(sizes, pa.binary())], ["host", "group", "share", "hashes", "counts"])
 
     return work
 
 
-def _texts(batches):
-    for batch in batches:
-        for part in slices(batch, "html", 1 << 23):
-            texts = []
-            for html, kept in zip(part.column("html").to_pylist(), part.column("kept").to_pylist(), strict=True):
-                found = blocks(html or "")
-                own = [(i, x) for i, (kind, x) in enumerate(found) if kind == MAIN]
-                if own:
-                    kept = None  # the markup names the article
-                own += [(r["number"], r["text"]) for r in kept or []]
-                texts.append("\n\n".join(x for _, x in sorted(own)))
-            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
+def _boilerplate(least: int):
+    """Of one share of a host's window hashes: for each group those that stand on ``least`` pages of the host or more."""
+
+    def work(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        groups, hashes = rows.column("group").to_pylist(), [_unpack(x) for x in rows.column("hashes").to_pylist()]
+        counts = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint8) for x in rows.column("counts").to_pylist()])
+        _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+        bad = (np.bincount(inverse, weights=counts) >= least)[inverse]
+        ends = np.cumsum(list(map(len, hashes)))
+        own = [(g, h[bad[end - len(h) : end]]) for g, h, end in zip(groups, hashes, ends, strict=True)]
+        own = [(g, _pack(h)) for g, h in own if len(h)]
+        groups, packed = zip(*own, strict=True) if own else ((), ())
+        return pa.table([pa.array([key[0].as_py()] * len(own), pa.string()), pa.array(groups, pa.int64()), pa.array(packed, pa.binary())], ["host", "group", "bad"])
+
+    return work
+
+
+def _gone(found: list[tuple[int, str]], bad: np.ndarray, run: int) -> np.ndarray:
+    """Which words of a page are in repeated windows. A window that only reaches into a block by fewer than ``run`` words takes none of these."""
+    codes, stretch = _words(found)
+    n = len(codes)
+    if n < run or not len(bad):
+        return np.zeros(n, bool)
+    at = np.flatnonzero(stretch[: n - run + 1] == stretch[run - 1 :])
+    hit = at[np.isin(_window_hash(codes, at, run), bad)]
+    covered = np.zeros(n + 1, np.int64)
+    np.add.at(covered, hit, 1)
+    np.add.at(covered, hit + run, -1)
+    gone, start = np.cumsum(covered)[:-1] > 0, 0
+    for _, x in found:
+        own = gone[start : start + x.count(" ") + 1]
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0]))))
+        for b, e in zip(edges[::2], edges[1::2], strict=True):
+            if e - b < min(run, len(own)):
+                own[b:e] = False
+        start += len(own)
+    return gone
+
+
+def _text(html: str, bad: np.ndarray, run: int) -> str:
+    found = blocks(html)
+    gone, start, out = _gone(found, bad, run), 0, []
+    of_main = np.repeat([kind == MAIN for kind, _ in found], [x.count(" ") + 1 for _, x in found]).astype(bool)
+    copied = gone[of_main].mean() >= COPIED if of_main.any() else False
+    for kind, x in found:
+        words = x.split(" ")
+        own = gone[start : start + len(words)]
+        start += len(words)
+        if kind == CHROME:
+            continue
+        if kind == OPEN or not copied:
+            x = " ".join(w for w, g in zip(words, own, strict=True) if not g)
+        if x:
+            out.append(x)
+    return "\n\n".join(out)
+
+
+def _texts(run: int):
+    def work(pages: pa.Table, marks: pa.Table) -> pa.Table:
+        packed = marks.column("bad").to_pylist()
+        bad = np.unique(np.concatenate([_unpack(x) for x in packed])) if packed else np.zeros(0, np.uint64)
+        texts = [_text(html or "", bad, run) for html in pages.column("html").to_pylist()]
+        return pa.table([pages.column("page_id"), pages.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    return work
 
 
 def extract(pages: DataFrame, *, run: int = RUN, least_pages: int = PAGES) -> DataFrame:
     """Main text of every row (page_id, url, html).
 
-    What stands in an article or main element, outside the menus, headers,
-    footers, sidebars, notices, adverts, forms and comments in it, is main
-    text, even if other pages repeat it: copies of an article stay whole.
-    The streams of all other words go through a suffix array for each host.
-    Windows of ``run`` words on ``least_pages`` pages or more are boilerplate;
-    on a page without an article, the open blocks keep what no such window
-    covers. A host with many words is dealt over several arrays, and the
+    The words of a host's pages go through a suffix array. Windows of ``run``
+    words on ``least_pages`` pages or more are boilerplate, and the article or
+    main element and the blocks the markup leaves open, on every page, keep
+    what no such window covers. An article that such windows cover by half or
+    more is a copy, not boilerplate, and stays whole. Menus, headers, footers,
+    sidebars, notices, adverts, forms and comments count for the windows and
+    are left out. A host with many words is dealt over several arrays, and the
     counts of windows are added up by their hash, so the split changes nothing.
 
     Returns page_id, url, text, n_chars. Null or empty html: empty text. Null
@@ -256,37 +306,11 @@ def extract(pages: DataFrame, *, run: int = RUN, least_pages: int = PAGES) -> Da
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), "url", "html").withColumn("k", F.xxhash64("page_id", "url", "html")).withColumn("host", host)
-    schema = "k long, host string, words array<string>, n_open long, n long"
-    streams = stash(rows.select("k", "host", "html").mapInArrow(_streams, schema), "html-streams")
-    groups = streams.groupBy("host").agg(F.ceil(F.sum("n") / TOKENS).alias("groups"))
-    dealt = streams.join(groups, "host").withColumn("group", F.pmod(F.xxhash64("k"), F.greatest("groups", F.lit(1))))
-    dealt = dealt.dropDuplicates(["host", "group", "k"]).select("host", "group", "words")
-    found = dealt.groupBy("host", "group").applyInPandas(_repeats(run), "host string, h long, pages long")
-    bad = stash(found.groupBy("host", "h").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= least_pages).select("host", "h"), "html-repeats")
-
-    # Only pages without an article need the windows; each gets those it has.
-    wanted = streams.where("n_open > 0").select("k", "host").distinct()
-    if wanted.isEmpty():
-        survivors = None
-    else:
-        asked = rows.select("k", "html", "host").join(wanted, ["k", "host"], "left_semi").dropDuplicates(["k"])
-        own = asked.mapInArrow(_own_windows(run), "k long, host string, h long").distinct().join(bad, ["host", "h"]).groupBy("k").agg(F.collect_list("h").alias("bad"))
-        survivors = stash(asked.select("k", "html").join(own, "k", "left").mapInArrow(_left(run), "k long, kept array<struct<number:int,text:string>>"), "html-left")
-    if survivors is None:
-        whole = rows.withColumn("kept", F.lit(None).cast("array<struct<number:int,text:string>>"))
-    else:
-        whole = rows.join(survivors, "k", "left")
-    return whole.select("page_id", "url", "html", "kept").mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
-
-
-def _own_windows(run: int):
-    def work(batches):
-        for batch in batches:
-            for k, host, html in zip(batch.column("k").to_pylist(), batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                words = [w for kind, x in blocks(html or "") if kind != MAIN for w in x.split(" ")]
-                if len(words) >= run:
-                    codes = pd.util.hash_array(np.array(words, object), categorize=True)
-                    h = np.unique(_window_hash(codes, np.arange(len(words) - run + 1), run))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k)), pa.array([host] * len(h)), pa.array(h)], ["k", "host", "h"])
-
-    return work
+    sizes = rows.groupBy("host").agg(F.greatest(F.ceil(F.sum(F.length("html")) / (TOKENS * LETTERS)), F.lit(1)).cast("long").alias("groups"))
+    dealt = rows.join(F.broadcast(stash(sizes.where("groups > 1"), "html-hosts")), "host", "left").withColumn("groups", F.coalesce("groups", F.lit(1)).cast("long"))
+    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("k"), F.col("groups")))
+    found = dealt.select("host", "group", "groups", "k", "html").groupBy("host", "group").applyInArrow(_repeats(run, least_pages), "host string, group long, share long, hashes binary, counts binary")
+    bad = found.groupBy("host", "share").applyInArrow(_boilerplate(least_pages), "host string, group long, bad binary")
+    bad = stash(bad, "html-repeats")
+    both = dealt.select("host", "group", "page_id", "url", "html").groupBy("host", "group").cogroup(bad.groupBy("host", "group"))
+    return both.applyInArrow(_texts(run), "page_id long, url string, text string, n_chars long")

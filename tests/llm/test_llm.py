@@ -211,6 +211,25 @@ def test_html(spark):
     assert html_text.extract(df.where("false")).count() == 0
 
 
+def test_html_repeats_decide_beside_and_in_articles(spark):
+    plug = "Sign our weekly letter now and never miss another story"
+    notice = "This site keeps crumbs of your visit so that pages load"
+    copy = text_of(99, 60)
+    body = lambda k: text_of(500 + k, 40, 5000)
+    page = lambda k: f"<div>lead {k} stands alone</div><div>{notice}</div><article><h1>The {k}</h1><p>{body(k)}</p><p>{plug}</p></article>"
+    rows = [(k, f"http://h.example.com/{k}", page(k)) for k in range(4)]
+    rows += [(10 + k, f"http://h.example.com/c{k}", f"<article><p>{copy}</p></article>") for k in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for tokens in (html_text.TOKENS, 30):  # one array, and several
+        kept, html_text.TOKENS = html_text.TOKENS, tokens
+        try:
+            out = {r.page_id: r.text for r in html_text.extract(df).collect()}
+        finally:
+            html_text.TOKENS = kept
+        assert [out[k] for k in range(4)] == [f"lead {k} stands alone\n\nThe {k}\n\n{body(k)}" for k in range(4)]
+        assert all(out[10 + k] == copy for k in range(4))
+
+
 def test_windows_are_classes_of_equal_runs():
     r = np.random.default_rng(1)
     tokens, pages = r.integers(0, 3, 200), np.repeat(np.arange(10), 20)
