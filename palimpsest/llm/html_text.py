@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stash
-from .words import mix64
+from .words import mix64, slices
 
 #: Tokens of a run, and pages of a host it must stand on, to be boilerplate.
 RUN, PAGES = 8, 3
@@ -27,6 +27,8 @@ COPIED = 0.5
 MAIN, OPEN, CHROME = 0, 1, 2
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math canvas object audio video xmp".split())
+#: Of these, what nothing but the end tag ends; the others, if left open, hold nothing.
+ENDLESS = frozenset("script style textarea title xmp".split())
 OUTSIDE = frozenset("nav header footer aside form head button select dialog menu fieldset".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -37,9 +39,14 @@ NAMED = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 
+#: A start tag closes an open element of these names, unless one of the others is between them.
+_LISTS, _TABLES = frozenset("ul ol menu dir".split()), frozenset("table".split())
+CLOSES = {"li": (frozenset({"li"}), _LISTS), **dict.fromkeys(("dt", "dd"), (frozenset({"dt", "dd"}), frozenset({"dl"})))}
+CLOSES |= {**dict.fromkeys(("td", "th"), (frozenset({"td", "th"}), _TABLES)), "tr": (frozenset({"tr"}), _TABLES), **dict.fromkeys(("tbody", "thead", "tfoot"), (frozenset({"tbody", "thead", "tfoot"}), _TABLES))}
+_PARAGRAPH = (frozenset({"p"}), (BLOCK - {"p"}) | {"button"})
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 def _is_chrome(tag: str, attributes: str) -> bool:
@@ -50,22 +57,104 @@ def _is_chrome(tag: str, attributes: str) -> bool:
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            if tag != "main" and any(part.lower() in NAMED for part in _NAME_PARTS.findall(value)):
+            if tag != "main" and any(token in NAMED for token in value.lower().split()):
                 return True
         elif name == "role":
             if value.lower() in ROLES:
                 return True
-        elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
+        elif _hides(name, value):
             return True
     return False
 
 
+def _hides(name: str, value: str) -> bool:
+    return name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower())
+
+
+def _is_hidden(attributes: str) -> bool:
+    return any(_hides(name.lower(), a or b or c) for name, a, b, c in _ATTRIBUTE.findall(attributes))
+
+
+def _is_main(tag: str, attributes: str) -> bool:
+    return tag in ("article", "main") or _role(attributes) == "main"
+
+
+def _tags(html: str):
+    """(start, end, tag, closing, attributes) of each tag in page order. Of an element in RAW only the text before and after it is left."""
+    at, size = 0, len(html)
+    while (found := _TAG.search(html, at)) is not None:
+        at, tag = found.end(), (found[2] or "").lower()
+        if tag in RAW and not found[1] and not found[3].endswith("/"):
+            end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(html, at)
+            at = end.end() if end else size if tag in ENDLESS else at
+            tag = ""
+        yield found.start(), at, tag, bool(found[1]), found[3] or ""
+
+
+def _implied(stack: list, tag: str) -> int | None:
+    """Where the stack is cut by the end tags that the start of ``tag`` implies."""
+    cut = None
+    for names, fence in ([CLOSES[tag]] if tag in CLOSES else []) + ([_PARAGRAPH] if tag in BLOCK else []):
+        for i in range(len(stack) - 1 if cut is None else cut - 1, -1, -1):
+            if stack[i][0] in names:
+                cut = i
+                break
+            if stack[i][0] in fence:
+                break
+    return cut
+
+
+def _wrappers(tags: list, size: int) -> tuple[set[int], bool]:
+    """Numbers of the start tags of elements that only look like chrome: they hold an article or main element, or are
+    a form around half of the page or more. Also whether an article or main element stands outside all chrome."""
+    doubtful, clean = set(), False
+    stack: list[tuple[str, int, int, bool]] = []  # tag, number, start, whether it is a chrome element
+
+    def ended(gone: list, at: int) -> None:
+        doubtful.update(number for tag, number, start, _ in gone if tag == "form" and 2 * (at - start) >= size)
+
+    for number, (start, _, tag, closing, attributes) in enumerate(tags):
+        if not tag:
+            continue
+        if closing:
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] == tag:
+                    ended(stack[i:], start)
+                    del stack[i:]
+                    break
+            continue
+        cut = _implied(stack, tag)
+        if cut is not None:
+            ended(stack[cut:], start)
+            del stack[cut:]
+        if tag in VOID or attributes.endswith("/"):
+            continue
+        chrome = _is_chrome(tag, attributes)
+        if _is_main(tag, attributes) and not any(_is_hidden(tags[n][4]) for _, n, _, _ in stack) and not _is_hidden(attributes):
+            inside = any(_is_main(t, tags[n][4]) for t, n, _, _ in stack)
+            if not inside:
+                doubtful.update(n for _, n, _, c in stack if c)
+                if chrome:
+                    doubtful.add(number)
+                clean = clean or not chrome and not any(c and t != "form" for t, _, _, c in stack)
+        stack.append((tag, number, start, chrome))
+    ended(stack, size)
+    return doubtful, clean
+
+
 def blocks(html: str) -> list[tuple[int, str]]:
     """(kind, text) of each block in page order, white space made single. kind: MAIN in an article or main element,
-    CHROME in a menu, header, footer, sidebar, notice, advert, form or comment, OPEN elsewhere."""
+    CHROME in a menu, header, footer, sidebar, notice, advert, form or comment, OPEN elsewhere.
+
+    Chrome around an article or main element and a form around half of the
+    page are OPEN; an article in such chrome is MAIN if the page has none
+    outside chrome, else OPEN. Hidden elements stay CHROME.
+    """
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []  # open elements and the kind of what is in them
-    kind, text, at, size = OPEN, [], 0, len(html)
+    kind, text, at = OPEN, [], 0
+    tags = list(_tags(html))
+    doubtful, clean = _wrappers(tags, len(html))
 
     def flush() -> None:
         if text:
@@ -74,53 +163,56 @@ def blocks(html: str) -> list[tuple[int, str]]:
                 out.append((kind, words))
             text.clear()
 
-    while at < size:
-        found = _TAG.search(html, at)
-        if found is None:
-            text.append(unescape(html[at:]))
-            break
-        if found.start() > at:
-            text.append(unescape(html[at : found.start()]))
-        at = found.end()
-        tag = found[2]
-        if tag is None:
+    def close(i: int) -> None:
+        nonlocal kind
+        below = stack[i - 1][1] if i else OPEN
+        if stack[i][1] != kind or below != kind:
+            flush()
+        del stack[i:]
+        kind = below
+
+    teaser = 0  # depth of the stack outside the doubtful chrome around it, where a page has its article elsewhere
+    for number, (start, end, tag, closing, attributes) in enumerate(tags):
+        if start > at:
+            text.append(unescape(html[at:start]))
+        at = end
+        if not tag:
             continue
-        tag = tag.lower()
-        if found[1]:
-            if tag in BLOCK:
-                flush()
+        if tag in BLOCK:
+            flush()
+        if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    flush_needed = stack[i][1] != kind or i and stack[i - 1][1] != kind
-                    del stack[i:]
-                    if flush_needed:
-                        flush()
-                    kind = stack[-1][1] if stack else OPEN
+                    close(i)
                     break
+            teaser = min(teaser, len(stack))
             continue
-        if tag in BLOCK:
+        cut = _implied(stack, tag)
+        if cut is not None:
             flush()
-        if tag in VOID or found[3].endswith("/"):
+            close(cut)
+            teaser = min(teaser, len(stack))
+        if tag in VOID or attributes.endswith("/"):
             if tag == "br":
                 text.append(" ")
             continue
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(html, at)
-            at = end.end() if end else size
-            continue
         inner = kind
         if kind == CHROME:
             # the heading of an article stands in its header
             if tag in HEADING and any(k == MAIN for _, k in stack) and stack[-1][0] == "header":
                 inner = MAIN
-        elif _is_chrome(tag, found[3]):
+        elif _is_chrome(tag, attributes) and number not in doubtful:
             inner = CHROME
-        elif tag in ("article", "main") or "main" == _role(found[3]):
-            inner = MAIN
+        elif _is_main(tag, attributes):
+            own = number in doubtful
+            inner = kind if kind == MAIN else OPEN if clean and (own or teaser) else MAIN
+        if number in doubtful and tag != "form" and not teaser:
+            teaser = len(stack) + 1
         if inner != kind:
             flush()
         stack.append((tag, inner))
         kind = inner
+    text.append(unescape(html[at:]))
     flush()
     return out
 
@@ -153,6 +245,24 @@ def windows(tokens: np.ndarray, pages: np.ndarray, run: int) -> np.ndarray:
     return np.where(whole, rank, -1)
 
 
+def _fold(found: list[tuple[int, str]]) -> bytes:
+    """Blocks as compressed lines; white space in them is single, so none has a line break."""
+    return zlib.compress("\n".join(f"{kind}{x}" for kind, x in found).encode())
+
+
+def _unfold(page: bytes) -> list[tuple[int, str]]:
+    return [(int(x[0]), x[1:]) for x in zlib.decompress(page).decode().split("\n") if x]
+
+
+def _pages(batches):
+    """Each page's blocks in place of its html."""
+    for batch in batches:
+        for part in slices(batch, "html", 1 << 23):
+            pages = [_fold(blocks(html or "")) for html in part.column("html").to_pylist()]
+            names = [x for x in part.schema.names if x != "html"]
+            yield pa.RecordBatch.from_arrays([*map(part.column, names), pa.array(pages, pa.binary())], [*names, "page"])
+
+
 def _words(found: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of a page's words, and for each the number of its stretch: no window spans words of an article and others."""
     words = [w for _, x in found for w in x.split(" ")]
@@ -190,10 +300,10 @@ def _repeats(run: int, least: int):
 
     def work(key: tuple[pa.Scalar, ...], pages: pa.Table) -> pa.Table:
         groups, streams, turns, seen = pages.column("groups")[0].as_py(), [], [], set()
-        for k, html in zip(pages.column("k").to_pylist(), pages.column("html").to_pylist(), strict=True):
+        for k, page in zip(pages.column("k").to_pylist(), pages.column("page").to_pylist(), strict=True):
             if k not in seen:
                 seen.add(k)
-                codes, turn = _words(blocks(html or ""))
+                codes, turn = _words(_unfold(page))
                 streams.append(codes)
                 turns.append(turn)
         starts, start = [], 0
@@ -239,13 +349,14 @@ def _boilerplate(least: int):
 
 
 def _gone(found: list[tuple[int, str]], bad: np.ndarray, run: int) -> np.ndarray:
-    """Which words of a page are in repeated windows. A window that only reaches into a block by fewer than ``run`` words takes none of these."""
+    """Which words of a page are in repeated windows, whose hashes are in ``bad`` in order. A window that only reaches into a block by fewer than ``run`` words takes none of these."""
     codes, stretch = _words(found)
     n = len(codes)
     if n < run or not len(bad):
         return np.zeros(n, bool)
     at = np.flatnonzero(stretch[: n - run + 1] == stretch[run - 1 :])
-    hit = at[np.isin(_window_hash(codes, at, run), bad)]
+    h = _window_hash(codes, at, run)
+    hit = at[bad[np.minimum(np.searchsorted(bad, h), len(bad) - 1)] == h]
     covered = np.zeros(n + 1, np.int64)
     np.add.at(covered, hit, 1)
     np.add.at(covered, hit + run, -1)
@@ -260,8 +371,7 @@ def _gone(found: list[tuple[int, str]], bad: np.ndarray, run: int) -> np.ndarray
     return gone
 
 
-def _text(html: str, bad: np.ndarray, run: int) -> str:
-    found = blocks(html)
+def _text(found: list[tuple[int, str]], bad: np.ndarray, run: int) -> str:
     gone, start, out = _gone(found, bad, run), 0, []
     of_main = np.repeat([kind == MAIN for kind, _ in found], [x.count(" ") + 1 for _, x in found]).astype(bool)
     copied = gone[of_main].mean() >= COPIED if of_main.any() else False
@@ -282,7 +392,7 @@ def _texts(run: int):
     def work(pages: pa.Table, marks: pa.Table) -> pa.Table:
         packed = marks.column("bad").to_pylist()
         bad = np.unique(np.concatenate([_unpack(x) for x in packed])) if packed else np.zeros(0, np.uint64)
-        texts = [_text(html or "", bad, run) for html in pages.column("html").to_pylist()]
+        texts = [_text(_unfold(page), bad, run) for page in pages.column("page").to_pylist()]
         return pa.table([pages.column("page_id"), pages.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return work
@@ -309,8 +419,9 @@ def extract(pages: DataFrame, *, run: int = RUN, least_pages: int = PAGES) -> Da
     sizes = rows.groupBy("host").agg(F.greatest(F.ceil(F.sum(F.length("html")) / (TOKENS * LETTERS)), F.lit(1)).cast("long").alias("groups"))
     dealt = rows.join(F.broadcast(stash(sizes.where("groups > 1"), "html-hosts")), "host", "left").withColumn("groups", F.coalesce("groups", F.lit(1)).cast("long"))
     dealt = dealt.withColumn("group", F.pmod(F.xxhash64("k"), F.col("groups")))
-    found = dealt.select("host", "group", "groups", "k", "html").groupBy("host", "group").applyInArrow(_repeats(run, least_pages), "host string, group long, share long, hashes binary, counts binary")
+    dealt = dealt.select("page_id", "url", "k", "host", "groups", "group", "html").mapInArrow(_pages, "page_id long, url string, k long, host string, groups long, group long, page binary")
+    found = dealt.select("host", "group", "groups", "k", "page").groupBy("host", "group").applyInArrow(_repeats(run, least_pages), "host string, group long, share long, hashes binary, counts binary")
     bad = found.groupBy("host", "share").applyInArrow(_boilerplate(least_pages), "host string, group long, bad binary")
     bad = stash(bad, "html-repeats")
-    both = dealt.select("host", "group", "page_id", "url", "html").groupBy("host", "group").cogroup(bad.groupBy("host", "group"))
+    both = dealt.select("host", "group", "page_id", "url", "page").groupBy("host", "group").cogroup(bad.groupBy("host", "group"))
     return both.applyInArrow(_texts(run), "page_id long, url string, text string, n_chars long")

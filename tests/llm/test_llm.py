@@ -230,6 +230,37 @@ def test_html_repeats_decide_beside_and_in_articles(spark):
         assert all(out[10 + k] == copy for k in range(4))
 
 
+@pytest.mark.parametrize(
+    "html, main",
+    [
+        ('<div class="layout with-sidebar"><article>own</article></div>', "own"),
+        ('<div class="sidebar"><article>own</article></div>', "own"),
+        ('<div id="main" class="has-navigation"><article>own</article></div>', "own"),
+        ('<article class="post comments-open">own</article>', "own"),
+        ('<article class="post sponsored">own</article>', "own"),
+        ('<body><form id="aspnetForm"><nav>menu</nav><article>own</article></form></body>', "own"),
+        ('<body><form><div>own text of the page</div></form></body>', "own text of the page"),
+        ('<section id="social-history"><p>own</p></section>', "own"),
+        ("<p class=ad>Buy<p>own", "own"),
+        ("<ul><li class=ad>Buy<li>own</ul>", "own"),
+        ("<dl><dt class=ad>Buy<dd>own</dl>", "own"),
+        ("<table><tr><td class=ad>Buy<td>own</table>", "own"),
+        ("<svg><p>own</p>", "own"),
+        ("<article>own</article><div class=related><article>other</article></div>", "own|other"),
+        ("<article>own<article class=comment>other</article></article>", "own"),
+        ("<article>own</article><div class='ad'>x</div><form><p>log in</p></form>", "own"),
+        ("<div hidden><article>x</article></div><p>own</p>", "own"),
+    ],
+)
+def test_html_wrappers_are_no_chrome(html, main):
+    assert "|".join(x for kind, x in html_text.blocks(html) if kind != html_text.CHROME) == main
+
+
+def test_html_teasers_beside_an_article_are_open():
+    found = html_text.blocks("<article>own</article><aside><article>other</article></aside>")
+    assert found == [(html_text.MAIN, "own"), (html_text.OPEN, "other")]
+
+
 def test_windows_are_classes_of_equal_runs():
     r = np.random.default_rng(1)
     tokens, pages = r.integers(0, 3, 200), np.repeat(np.arange(10), 20)
