@@ -95,7 +95,7 @@ def detect_all(spark, d):
 
 @query("detect_region_de")
 def detect_region_de(spark, d):
-    return scan.scan(table(spark, d, "documents").where("lang = 'de'"), for_region("de"))
+    return scan.scan(table(spark, d, "documents"), for_region("de"))
 
 
 @query("entities_by_type", f"WITH {_MIXED} SELECT lang, type, count(*) AS n, count(DISTINCT s.value) AS n_values FROM spans s JOIN documents USING (doc_id) GROUP BY lang, type")

@@ -111,3 +111,10 @@ def test_docx_scrub_leaves_no_trace():
 
 def test_catalogue_names_match():
     assert set(catalog.SQL) <= set(catalog.QUERIES)
+
+
+def test_region_de_scans_every_language(spark, tmp_path):
+    rows = [(i, f"write to a{i}@example.com", lang) for i, lang in enumerate(("de", "en", "fr", None))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.QUERIES["detect_region_de"](spark, str(tmp_path)).where("type = 'EMAIL'").collect()
+    assert sorted(r.doc_id for r in found) == [0, 1, 2, 3]
