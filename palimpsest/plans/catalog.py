@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions.validators import VALIDATORS, shannon_entropy
+from ..llm.common import WORD
 from ..operators import metrics, scan, session, spans, windows
 from .rules import RULES, Rule, for_region, rules_table
 
@@ -287,7 +288,8 @@ def conversation_session(spark, d):
 @query("shannon_entropy", """WITH w AS (SELECT doc_id, regexp_extract(text, '^[A-Za-z]+', 0) AS w FROM documents), c AS (SELECT doc_id, w, unnest(string_split(w, '')) AS c FROM w WHERE w <> ''),
 n AS (SELECT doc_id, w, c, count(*) AS k FROM c GROUP BY ALL) SELECT doc_id, w AS word, round(-sum(k / length(w) * log2(k / length(w))), 6) + 0.0 AS bits FROM n GROUP BY doc_id, w""")
 def entropy(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.regexp_extract("text", "^[A-Za-z]+", 0).alias("word")).where("word <> ''")
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    rows = table(spark, d, "documents").select("doc_id", F.explode(words).alias("word"))
     return rows.withColumn("bits", F.round(shannon_entropy(F.col("word")), 6) + F.lit(0.0))
 
 
@@ -307,7 +309,7 @@ def fit_placeholder(spark, d):
 
 @query("fold_diacritics", f"SELECT doc_id, replace(replace(translate(substr(text, 1, 80), '{T.ACCENTED}', '{T.PLAIN}'), 'ß', 'ss'), 'œ', 'oe') AS plain FROM documents")
 def fold_diacritics(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.fold_diacritics(F.substring("text", 1, 80)).alias("plain"))
+    return table(spark, d, "documents").select("doc_id", T.fold_diacritics(F.col("text")).alias("plain"))
 
 
 @query("office_files", "SELECT page_id, regexp_extract(url, '\\.([^./?#]+)$', 1) AS kind, url || '.redacted' AS plain_name FROM (SELECT page_id, 'f' || page_id || '.docx' AS url FROM pages) WHERE false UNION ALL SELECT page_id, 'word' AS kind, 'f' || page_id || '.redacted.docx' AS plain_name FROM pages")

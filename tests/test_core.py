@@ -118,3 +118,12 @@ def test_region_de_scans_every_language(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     found = catalog.QUERIES["detect_region_de"](spark, str(tmp_path)).where("type = 'EMAIL'").collect()
     assert sorted(r.doc_id for r in found) == [0, 1, 2, 3]
+
+
+def test_fold_and_entropy_take_whole_texts(spark, tmp_path):
+    rows = [(1, "x" * 100 + " Élan"), (2, "1st aab Ωmega aab"), (3, None), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plain = {r.doc_id: r.plain for r in catalog.QUERIES["fold_diacritics"](spark, str(tmp_path)).collect()}
+    assert plain == {1: "x" * 100 + " Elan", 2: rows[1][1], 3: None, 4: ""}
+    bits = {(r.doc_id, r.word): r.bits for r in catalog.QUERIES["shannon_entropy"](spark, str(tmp_path)).collect()}
+    assert bits == {(1, "x" * 100): 0.0, (1, "Élan"): 2.0, (2, "1st"): 1.584963, (2, "aab"): 0.918296, (2, "Ωmega"): 2.321928}
