@@ -15,15 +15,15 @@ from pyspark.sql.window import Window
 from .common import discard, stash
 from .words import Words, slices
 
-#: Size of a sketch, and the overlap that sketches of linked texts must have: at similarity 0.8 a shared part of
-#: 51 of 64 is expected with a deviation of 3.2, so 38 lies four deviations below. Sets up to 51 are compared whole.
-SKETCH, OVERLAP = 64, 38
-#: Least share of the union's sketch for a pair to be compared in full, again four deviations below 0.8.
-ESTIMATE = 0.6
+#: Size of a sketch, and the overlap that sketches of linked texts must have: at similarity 0.8 a shared part of 77 of 96
+#: is expected, and 54 or less has a probability of 1.1e-7 (binomial tail). Sets up to 96 are compared whole.
+SKETCH, OVERLAP = 96, 55
+#: Least share of the union's sketch for a pair to be compared in full; the same tail.
+ESTIMATE = OVERLAP / SKETCH
 #: Places of the bitmap of rows whose text is wanted again.
 PLACES = 1 << 23
 #: Hubs of a list that are compared with all its rows, by turn; the last goes on until the list is done.
-HUBS = (1, 8, 64, 256)
+HUBS = (1, 64, 4096, 65536)
 
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -34,8 +34,18 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
         yield np.unique(hashes[a:b])
 
 
-def _digest(shingles: np.ndarray) -> int:
-    return int.from_bytes(blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
+    """128 bits that equal sets share, as two columns."""
+    found = b"".join(blake2b(s.tobytes(), digest_size=16).digest() for s in sets)
+    both = np.frombuffer(found, np.int64).reshape(-1, 2)
+    return [pa.array(both[:, 0]), pa.array(both[:, 1])]
+
+
+def _lists(sets: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
+    if ends[-1] >= 1 << 31:
+        raise ValueError("a slice of texts has too many shingles for one batch")
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64), pa.int64()))
 
 
 def _sketches(words: int):
@@ -43,41 +53,43 @@ def _sketches(words: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = list(shingle_sets(part.column("text"), words))
-                low = [s[:SKETCH].view(np.int64) for s in sets]
-                ends = np.concatenate([[0], np.cumsum([len(x) for x in low])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([_digest(s) for s in sets], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(low), pa.int64())),
-                    ],
-                    ["doc_id", "n_shingles", "cls", "sketch"],
-                )
+                columns = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *_digests(sets), _lists([s[:SKETCH] for s in sets])]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "d1", "d2", "sketch"])
 
     return run
 
 
-def _texts(words: int, bits: np.ndarray):
+def _full_sets(words: int, bits: np.ndarray):
     def run(batches):
         for batch in batches:
             at = batch.column("at").to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
             for part in slices(batch, "text"):
-                texts = part.column("text")
-                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in shingle_sets(texts, words)], pa.int64()), texts], ["cls", "text"])
+                sets = list(shingle_sets(part.column("text"), words))
+                yield pa.RecordBatch.from_arrays([*_digests(sets), _lists(sets)], ["d1", "d2", "shingles"])
 
     return run
 
 
-def _similar(words: int, percent: int):
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have the similarity: the union's sketch first, then the full sets."""
+    low, high = x[:SKETCH], y[:SKETCH]
+    union = np.union1d(low, high)[:SKETCH]
+    if np.isin(union, np.intersect1d(low, high, assume_unique=True), assume_unique=True).sum() < ESTIMATE * len(union):
+        return False
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+def _confirm(percent: int):
     def run(batches):
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("ta"), batch.column("tb"), strict=True):
-                x, y = shingle_sets(pa.array([a.as_py(), b.as_py()]), words)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            sides = []
+            for name in ("sa", "sb"):
+                column = batch.column(name)
+                sides.append((column.values.to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()))
+            (x, xs), (y, ys) = sides
+            keep = [similar(x[xs[i] : xs[i + 1]], y[ys[i] : ys[i + 1]], percent) for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -97,111 +109,126 @@ def _place():
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Smallest node reachable from each node: nodes (node, label), edges (a, b) → nodes with new labels.
+    """Smallest label reachable from each node: nodes (node, label), edges (a, b) → nodes with new labels.
 
-    Labels hook onto their smallest neighbour, then the chains of hooks are
-    shortened by doubling; repeated until no edge joins two labels.
+    Labels hook onto their smallest neighbour and skip two hooks at once;
+    repeated until no edge joins two labels.
     """
     while True:
         left = edges.join(nodes.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
         both = left.join(nodes.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").where("la != lb")
-        hooks = stash(both.groupBy(F.greatest("la", "lb").alias("from")).agg(F.min(F.least("la", "lb")).alias("to")), "near-hooks")
+        hooks = stash(both.groupBy(F.greatest("la", "lb").alias("label")).agg(F.min(F.least("la", "lb")).alias("to")), "near-hooks")
         if hooks.isEmpty():
             return nodes
-        while True:
-            far = hooks.select(F.col("from").alias("to"), F.col("to").alias("beyond"))
-            moved = stash(hooks.join(far, "to", "left").select("from", F.coalesce("beyond", "to").alias("to"), F.col("beyond").isNotNull().alias("moved")), "near-hooks")
-            hooks = moved.select("from", "to")
-            if moved.where("moved").isEmpty():
-                break
-        nodes = stash(nodes.join(hooks, F.col("label") == F.col("from"), "left").select("node", F.coalesce("to", "label").alias("label")), "near-labels")
+        far = hooks.select(F.col("label").alias("to"), F.col("to").alias("beyond"))
+        far = hooks.join(far, "to", "left").select("label", F.coalesce("beyond", "to").alias("to"))
+        nodes = stash(nodes.join(far, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "near-labels")
+
+
+def _rare_first(values: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Inverted lists: values (cls, v), sizes (cls, n, k, need) → rows (v, cls, n, at) of lists with two or more classes.
+
+    A class of ``k`` values that must share ``need`` of them with any partner
+    enters the lists of its first ``k - need + 1`` values, those in the fewest
+    classes first, ties by value. Any two classes that can be linked share one
+    of these, since the order is the same for all. ``at`` is the value's place
+    in that order. What no other class has comes first and makes no list.
+    """
+    shared = stash(values.groupBy("v").agg(F.count("cls").alias("df")).where("df > 1"), "near-counts")
+    own = values.join(shared, "v").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    own = own.join(sizes, "cls").withColumn("room", (F.size("vs") - F.col("need") + 1).cast("int")).where("room > 0")
+    first = own.select("cls", "n", (F.col("k") - F.size("vs")).alias("alone"), F.posexplode(F.slice("vs", F.lit(1), F.col("room"))).alias("i", "x"))
+    lists = stash(first.select("x.v", "cls", "n", (F.col("alone") + F.col("i")).alias("at")), "near-lists")
+    several = lists.groupBy("v").agg(F.count("*").alias("m")).where("m > 1").select("v")
+    kept = stash(lists.join(several, "v"), "near-lists")
+    discard(lists)
+    discard(shared)
+    return kept
 
 
 def near_duplicates(documents: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
     """Link rows (doc_id, text) whose sets of ``words``-word shingles have a Jaccard similarity of ``percent`` or more.
 
     1. Each text becomes its distinct shingle hashes; the smallest SKETCH of
-       them are its sketch. Equal sets are one class from here on.
-    2. Inverted lists of the retained values: a class enters those of its
-       rarest values only. Sketches that overlap enough must share one of
-       these, and what is common in the corpus makes no long lists.
-    3. In each list a hub is compared with all others; what it gathers is one
-       component. Lists whose members are not all in one component get
-       further hubs, until every pair was compared or is already connected.
-       A pair counts if sizes allow the similarity, the union's sketch
+       them are its sketch. Equal sets (by 128 bits) are one class from here.
+    2. Inverted lists of the retained values, rarest first: sketches that
+       overlap enough share one of these, and what is common in the corpus
+       makes no long lists. A class in no list has no partner.
+    3. The others enter lists by their full sets, in the same way: no link can
+       be lost here, and a class whose own words take the room meets nobody.
+    4. In each list a hub is compared with all others; what it gathers is one
+       component. Then lists that still hold several components compare the
+       members outside the largest with those of other components, until all
+       were compared or are connected. A pair is compared if the places in
+       the two orders leave room for the similarity; the union's sketch then
        suggests it, and the full sets confirm it.
 
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable) and
     kept (doc_id = component_id). Null or wordless texts have no shingles and
-    stand alone. Rows that share a doc_id are kept or not together. Empty
-    table: empty. Other columns are ignored.
+    stand alone. Rows that share a doc_id and a set are kept or not together.
+    Empty table: empty. Other columns are ignored.
     """
     if percent < 75:
         raise ValueError("the sketch's bounds hold for similarities of 75 % and more")
     docs = documents.select(F.col("doc_id").cast("long"), "text")
-    sketched = stash(docs.mapInArrow(_sketches(words), "doc_id long, n_shingles long, cls long, sketch array<long>"), "near-sketches")
-    classes = sketched.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    classes = stash(classes, "near-classes")
-    rows = stash(sketched.select("doc_id", "n_shingles", "cls"), "near-rows")
+    sketched = stash(docs.mapInArrow(_sketches(words), "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>"), "near-sketches")
+    classes = sketched.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    classes = stash(classes.withColumn("cls", F.monotonically_increasing_id()), "near-classes")
+    rows = stash(sketched.select("doc_id", "n_shingles", "d1", "d2"), "near-rows")
     discard(sketched)
 
-    # The rarest values of each class that others have too. Dealt by value once, for the counts and for the rows they go back to.
-    values = classes.select("cls", F.explode("sketch").alias("v")).repartition("v")
-    shared = values.groupBy("v").agg(F.count("cls").alias("df")).where("df > 1")
-    own = values.join(shared, "v").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
-    bound = F.ceil(F.col("k") * percent / 100)
-    bound = F.when(F.col("n") > math.floor(SKETCH * percent / 100), F.least(bound, F.lit(OVERLAP))).otherwise(bound)
-    room = (F.col("k") - bound + 1) - (F.col("k") - F.size("vs"))
-    own = own.join(classes.select("cls", "n", F.size("sketch").alias("k")), "cls").withColumn("room", room.cast("int")).where("room > 0")
-    lists = stash(own.select("cls", "n", F.explode(F.slice("vs", F.lit(1), F.col("room"))).alias("x")).select("cls", "n", "x.v"), "near-lists")
-    several = lists.groupBy("v").agg(F.count("*").alias("m")).where("m > 1").select("v")
-    lists = stash(lists.join(several, "v"), "near-lists")
+    least = lambda n: F.ceil(n * percent / 100)
+    k = F.size("sketch")
+    need = F.when(F.col("n") > math.floor(SKETCH * percent / 100), F.least(least(k), F.lit(OVERLAP))).otherwise(least(k))
+    met = _rare_first(classes.select("cls", F.explode("sketch").alias("v")), classes.select("cls", "n", k.alias("k"), need.alias("need")))
+    inside = stash(classes.join(met.select("cls").distinct(), "cls", "left_semi").select("cls", "rep", "n", "d1", "d2"), "near-inside")
+    discard(met)
 
-    # Sketches and texts of the classes in a list.
-    inside = stash(lists.select("cls").distinct(), "near-inside")
-    reps = stash(classes.join(inside, "cls").select("cls", F.col("rep").alias("doc_id"), "sketch"), "near-reps")
-    passed = docs.withColumn("at", _place()).mapInArrow(_texts(words, _bits(reps)), "cls long, text string")
-    texts = stash(passed.join(inside, "cls", "left_semi").groupBy("cls").agg(F.min("text").alias("text")), "near-texts")
+    passed = docs.withColumn("at", _place()).mapInArrow(_full_sets(words, _bits(inside.select(F.col("rep").alias("doc_id")))), "d1 long, d2 long, shingles array<long>")
+    sets = stash(passed.join(inside.select("cls", "d1", "d2"), ["d1", "d2"]).groupBy("cls").agg(F.first("shingles").alias("shingles")), "near-sets")
+    lists = _rare_first(sets.select("cls", F.explode("shingles").alias("v")), inside.select("cls", "n", F.col("n").alias("k"), least(F.col("n")).alias("need")))
 
-    nodes = inside.select(F.col("cls").alias("node"), F.col("cls").alias("label"))
+    nodes = stash(lists.select(F.col("cls").alias("node")).distinct().withColumn("label", F.col("node")), "near-labels")
     turn = 0
-    while True:
-        hubs_now = HUBS[min(turn, len(HUBS) - 1)]
-        members = lists.join(nodes.select(F.col("node").alias("cls"), "label"), "cls")
-        if turn:
-            split = members.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("v")
-            members = stash(members.join(split, "v"), "near-members")
-            if members.isEmpty():
-                break
-        if hubs_now == 1:
-            hubs = members.groupBy("v").agg(F.min(F.struct("cls", "n", "label")).alias("h")).select("v", "h.*")
-        else:
-            hubs = members.withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy("cls"))).where(F.col("nth") <= hubs_now).drop("nth")
-        hubs = hubs.select("v", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-        fits = (F.col("a") < F.col("cls")) & (F.col("la") != F.col("label")) & (F.least("n", "na") * 100 >= F.greatest("n", "na") * percent)
-        pairs = members.join(hubs, "v").where(fits).select("a", F.col("cls").alias("b"), "na", F.col("n").alias("nb")).distinct()
-        links = _confirmed(pairs, reps, texts, words, percent)
-        nodes = components(nodes, stash(links, "near-links"))
-        last = hubs.groupBy("v").agg(F.max("a").alias("last"))
-        lists = stash(members.join(last, "v").where("cls > last").select("cls", "n", "v"), "near-lists")
+    while not lists.isEmpty():
+        pairs, lists = _turn(lists, nodes, turn, percent)
+        sides = [sets.select(F.col("cls").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab"]
+        links = stash(pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_confirm(percent), "a long, b long"), "near-links")
+        nodes = components(nodes, links)
         turn += 1
-        if lists.isEmpty():
-            break
+    discard(sets)
 
-    labels = classes.select("cls", "rep").join(nodes.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    labels = classes.select("cls", "rep", "d1", "d2").join(nodes.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     smallest = labels.groupBy("label").agg(F.min("rep").alias("component_id"))
-    component = labels.join(smallest, "label").select("cls", "component_id")
-    found = rows.join(component, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    component = stash(labels.join(smallest, "label").select("d1", "d2", "component_id"), "near-components")
+    found = rows.join(component, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose union sketch suggests the similarity and whose full sets have it."""
-    flip = F.lit(-(1 << 63))  # sketches are the smallest as unsigned numbers
-    unsigned = lambda c: F.transform(c, lambda x: x.bitwiseXOR(flip))
-    union = F.slice(F.array_sort(unsigned(F.array_union("ka", "kb"))), 1, SKETCH)
-    both = F.size(F.array_intersect(F.col("u"), unsigned(F.array_intersect("ka", "kb"))))
-    near = pairs.join(reps.select(F.col("cls").alias("a"), F.col("sketch").alias("ka")), "a").join(reps.select(F.col("cls").alias("b"), F.col("sketch").alias("kb")), "b")
-    near = stash(near.withColumn("u", union).where(both >= F.size("u") * ESTIMATE).select("a", "b"), "near-pairs")
-    full = near.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
-    return full.mapInArrow(_similar(words, percent), "a long, b long")
+def _turn(lists: DataFrame, nodes: DataFrame, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) that this turn compares, and what is left of the lists.
+
+    Turn 0: the smallest class of a list with all others. Later: only lists of
+    several components, and as hubs only members outside the list's largest
+    component, those of the smallest components first.
+    """
+    if turn:
+        members = lists.join(nodes.select(F.col("node").alias("cls"), "label"), "cls")
+        sizes = stash(members.groupBy("v", "label").agg(F.count("*").alias("share")), "near-shares")
+        largest = sizes.groupBy("v").agg(F.max(F.struct("share", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("v", F.col("top.label").alias("most"))
+        members = stash(members.join(largest, "v"), "near-members")
+        few = members.where("label != most").join(sizes, ["v", "label"])
+        order = Window.partitionBy("v").orderBy("share", "cls")
+        hubs = few.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= HUBS[min(turn, len(HUBS) - 1)])
+    else:
+        members = lists.withColumn("label", F.col("cls"))
+        hubs = members.groupBy("v").agg(F.min(F.struct("cls", "n", "at", "label")).alias("h")).select("v", "h.*")
+    hubs = stash(hubs.select("v", F.col("cls").alias("hub"), F.col("n").alias("hub_n"), F.col("at").alias("hub_at"), F.col("label").alias("hub_label")), "near-hubs")
+    room = F.least(F.col("n") - F.col("at"), F.col("hub_n") - F.col("hub_at"))
+    fits = (F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent) & (room * (100 + percent) >= (F.col("n") + F.col("hub_n")) * percent)
+    pairs = members.join(hubs, "v").where((F.col("label") != F.col("hub_label")) & fits)
+    pairs = stash(pairs.select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b")).distinct(), "near-pairs")
+    left = members.join(hubs.select("v", F.col("hub").alias("cls")), ["v", "cls"], "left_anti").select("v", "cls", "n", "at")
+    if not turn:
+        left = left.join(left.groupBy("v").agg(F.count("*").alias("m")).where("m > 1").select("v"), "v")
+    return pairs, stash(left, "near-lists")

@@ -9,12 +9,12 @@ import pytest
 from palimpsest.llm import classifier, html_text, lines, mixing, near, pieces, rules, sharding, surrogates, topk
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, v string, cls string, h string, hits string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, v string, cls string, h string, hits string, label string, n string, m string"
 
 
 def docs(spark, rows):
     """Rows (doc_id, text, source) with columns whose names the operators use inside."""
-    return spark.createDataFrame([(i, t, "en", s, 0, "x", "x", "x", "x") for i, t, s in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", s, 0, *["x"] * 7) for i, t, s in rows], SCHEMA)
 
 
 def text_of(seed, n, words=400):
@@ -71,28 +71,48 @@ def test_line_dedup(spark):
     assert lines.line_dedup(docs(spark, [])).count() == 0
 
 
-def test_near_duplicates(spark):
-    rows = []
-    for g in range(12):
-        base = text_of(g, 60 + 20 * g, 5000).split()
-        for c in range(8):
-            r = random.Random(100 * g + c)
-            rows.append((len(rows), " ".join(w if r.random() > 0.02 * c / 2 else f"n{r.randrange(10**6)}" for w in base), "a"))
-    rows += [(900, "One Two", "a"), (901, "one two", "a"), (902, "one", "a"), *[(910 + r[0], r[1], r[2]) for r in ODD if r[1] is None or not WORD.findall(r[1])]]
+def linked(rows, words, percent=80):
+    """doc_id → (smallest doc_id reachable, size of its set), by comparing all pairs."""
     sets = {}
     for i, t, _ in rows:
-        w = WORD.findall((t or "").lower())
-        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
     parent = {i: i for i in sets}
     find = lambda x: x if parent[x] == x else find(parent[x])
     for a in sets:
         for b in sets:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
-    out = {r.doc_id: r for r in near.near_duplicates(docs(spark, rows)).collect()}
-    assert {i: r.component_id for i, r in out.items()} == {i: find(i) for i in sets}
-    assert all(r.kept == (r.doc_id == r.component_id) and r.n_shingles == len(sets[i]) for i, r in out.items())
+    return {i: (find(i), len(sets[i])) for i in sets}
+
+
+@pytest.mark.parametrize("words", [4, 5])
+def test_near_duplicates(spark, words):
+    rows = []
+    for g in range(12):
+        base = text_of(g, 60 + 20 * g, 5000).split()
+        for c in range(8):
+            r = random.Random(100 * g + c)
+            rows.append((len(rows), " ".join(w if r.random() > 0.02 * c / 2 else f"n{r.randrange(10**6)}" for w in base), "a"))
+    passage = text_of(77, 70, 5000)  # a passage that many share without being alike, and copies of the whole that drift apart
+    rows += [(300 + k, passage + " " + text_of(2000 + k, 30 + k % 20, 50_000), "a") for k in range(60)]
+    drift = text_of(78, 150, 5000).split()
+    for k in range(60):
+        r = random.Random(k)
+        drift[r.randrange(150)] = f"d{k}"
+        rows.append((400 + k, " ".join(w if r.random() > 0.02 else f"m{r.randrange(10**6)}" for w in drift), "a"))
+    rows += [(900, "One Two", "a"), (901, "one two", "a"), (902, "one", "a"), *[(910 + r[0], r[1], r[2]) for r in ODD if r[1] is None or not WORD.findall(r[1])]]
+    expect = linked(rows, words)
+    assert len({c for c, _ in expect.values()}) < len(expect) - 80
+    for hubs in (near.HUBS, (1, 2)):  # several turns, too
+        near.HUBS, before = hubs, near.HUBS
+        try:
+            out = {r.doc_id: r for r in near.near_duplicates(docs(spark, rows), words=words).collect()}
+        finally:
+            near.HUBS = before
+        assert {i: (r.component_id, r.n_shingles) for i, r in out.items()} == expect
+        assert all(r.kept == (r.doc_id == r.component_id) for r in out.values())
 
 
 def test_near_duplicates_odd_rows(spark):
