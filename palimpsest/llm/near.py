@@ -22,8 +22,9 @@ SKETCH, OVERLAP = 96, 55
 ESTIMATE = OVERLAP / SKETCH
 #: Places of the bitmap of rows whose text is wanted again.
 PLACES = 1 << 23
-#: Hubs of a list that are compared with all its rows, by turn; the last goes on until the list is done.
-HUBS = (1, 64, 4096, 65536)
+#: Hubs of a list that are compared with all its rows, by turn; the last goes on until the list is done. From turn 1 on
+#: these come from outside the list's largest component, and CENTRES more from inside it.
+HUBS, CENTRES = (1, 16, 1024, 65536), 4
 
 
 def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -126,19 +127,21 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _rare_first(values: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Inverted lists: values (cls, v), sizes (cls, n, k, need) → rows (v, cls, n, at) of lists with two or more classes.
+    """Inverted lists: values (cls, v), sizes (cls, n, k, need) → rows (v, cls, n, at, far) of lists with two or more
+    classes.
 
     A class of ``k`` values that must share ``need`` of them with any partner
     enters the lists of its first ``k - need + 1`` values, those in the fewest
     classes first, ties by value. Any two classes that can be linked share one
     of these, since the order is the same for all. ``at`` is the value's place
-    in that order. What no other class has comes first and makes no list.
+    in that order, ``far`` how many of a million values no other class has:
+    these come first and make no list.
     """
     shared = stash(values.groupBy("v").agg(F.count("cls").alias("df")).where("df > 1"), "near-counts")
     own = values.join(shared, "v").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
     own = own.join(sizes, "cls").withColumn("room", (F.size("vs") - F.col("need") + 1).cast("int")).where("room > 0")
-    first = own.select("cls", "n", (F.col("k") - F.size("vs")).alias("alone"), F.posexplode(F.slice("vs", F.lit(1), F.col("room"))).alias("i", "x"))
-    lists = stash(first.select("x.v", "cls", "n", (F.col("alone") + F.col("i")).alias("at")), "near-lists")
+    first = own.select("cls", "n", "k", (F.col("k") - F.size("vs")).alias("alone"), F.posexplode(F.slice("vs", F.lit(1), F.col("room"))).alias("i", "x"))
+    lists = stash(first.select("x.v", "cls", "n", (F.col("alone") + F.col("i")).alias("at"), F.floor(F.col("alone") * 1_000_000 / F.col("k")).alias("far")), "near-lists")
     several = lists.groupBy("v").agg(F.count("*").alias("m")).where("m > 1").select("v")
     kept = stash(lists.join(several, "v"), "near-lists")
     discard(lists)
@@ -156,10 +159,11 @@ def near_duplicates(documents: DataFrame, *, words: int = 5, percent: int = 80)
        makes no long lists. A class in no list has no partner.
     3. The others enter lists by their full sets, in the same way: no link can
        be lost here, and a class whose own words take the room meets nobody.
-    4. In each list a hub is compared with all others; what it gathers is one
-       component. Then lists that still hold several components compare the
-       members outside the largest with those of other components, until all
-       were compared or are connected. A pair is compared if the places in
+    4. In each list the class with the smallest share of values of its own is
+       compared with all others; what it gathers is one component. Then lists
+       that still hold several components compare members outside the largest
+       with those of other components, until all were compared or are
+       connected. A pair is compared if the places in
        the two orders leave room for the similarity; the union's sketch then
        suggests it, and the full sets confirm it.
 
@@ -208,27 +212,29 @@ def near_duplicates(documents: DataFrame, *, words: int = 5, percent: int = 80)
 def _turn(lists: DataFrame, nodes: DataFrame, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The pairs (a, b) that this turn compares, and what is left of the lists.
 
-    Turn 0: the smallest class of a list with all others. Later: only lists of
-    several components, and as hubs only members outside the list's largest
-    component, those of the smallest components first.
+    Turn 0: one class of a list with all others, the one with the smallest
+    share of values of its own, as copies lie closest to what they were
+    copied from. Later: only lists of several components; as hubs a few such
+    classes of the largest one, and members of the others, the smallest first.
     """
     if turn:
         members = lists.join(nodes.select(F.col("node").alias("cls"), "label"), "cls")
         sizes = stash(members.groupBy("v", "label").agg(F.count("*").alias("share")), "near-shares")
         largest = sizes.groupBy("v").agg(F.max(F.struct("share", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("v", F.col("top.label").alias("most"))
         members = stash(members.join(largest, "v"), "near-members")
-        few = members.where("label != most").join(sizes, ["v", "label"])
-        order = Window.partitionBy("v").orderBy("share", "cls")
-        hubs = few.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= HUBS[min(turn, len(HUBS) - 1)])
+        inner = F.col("label") == F.col("most")
+        order = Window.partitionBy("v", "inner").orderBy("share", "far", "cls")
+        ranked = members.join(sizes, ["v", "label"]).withColumn("inner", inner).withColumn("nth", F.row_number().over(order))
+        hubs = ranked.where(F.col("nth") <= F.when(F.col("inner"), CENTRES).otherwise(HUBS[min(turn, len(HUBS) - 1)]))
     else:
         members = lists.withColumn("label", F.col("cls"))
-        hubs = members.groupBy("v").agg(F.min(F.struct("cls", "n", "at", "label")).alias("h")).select("v", "h.*")
+        hubs = members.groupBy("v").agg(F.min(F.struct("far", "cls", "n", "at", "label")).alias("h")).select("v", "h.*")
     hubs = stash(hubs.select("v", F.col("cls").alias("hub"), F.col("n").alias("hub_n"), F.col("at").alias("hub_at"), F.col("label").alias("hub_label")), "near-hubs")
     room = F.least(F.col("n") - F.col("at"), F.col("hub_n") - F.col("hub_at"))
     fits = (F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent) & (room * (100 + percent) >= (F.col("n") + F.col("hub_n")) * percent)
     pairs = members.join(hubs, "v").where((F.col("label") != F.col("hub_label")) & fits)
     pairs = stash(pairs.select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b")).distinct(), "near-pairs")
-    left = members.join(hubs.select("v", F.col("hub").alias("cls")), ["v", "cls"], "left_anti").select("v", "cls", "n", "at")
+    left = members.join(hubs.select("v", F.col("hub").alias("cls")), ["v", "cls"], "left_anti").select("v", "cls", "n", "at", "far")
     if not turn:
         left = left.join(left.groupBy("v").agg(F.count("*").alias("m")).where("m > 1").select("v"), "v")
     return pairs, stash(left, "near-lists")
