@@ -85,51 +85,44 @@ def _search(block: _Block, query: np.ndarray, tails: np.ndarray, floor: float, k
     return place, score
 
 
-
-def _local(queries: tuple, k: int):
-    """The k + 1 best of each task's candidates for each query: one more, as the query's own row may be among them."""
+def _local(number: np.ndarray, q: np.ndarray, k: int):
+    """The k best of each task's candidates for each query; a query's own row, known by its number, is none."""
 
     def run(batches):
-        number, qid, q = queries
-        keep = k + 1
-        best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))] * len(number)
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(number)
+        place_of = {int(x): i for i, x in enumerate(number)}
         for batch in batches:
             for at in range(0, batch.num_rows, CANDIDATES):
                 part = batch.slice(at, CANDIDATES)
                 rows = _matrix(part.column("v"), q.shape[1])
                 wide = np.pad(q, ((0, 0), (0, rows.shape[1] - q.shape[1])))
                 ids = part.column("vec_id").to_numpy(zero_copy_only=False)
-                known = part.column("known").to_numpy(zero_copy_only=False).astype(bool)
+                numbers = part.column("number").to_numpy(zero_copy_only=False)
+                own = {place_of[int(x)]: i for i, x in enumerate(numbers) if int(x) in place_of}
                 most = float(np.abs(rows.astype(np.float64)).max(initial=0)) * float(np.abs(wide.astype(np.float64)).max(initial=0)) * max(1, rows.shape[1])
                 exact = most < _EXACT
                 block = _Block(ids, rows) if exact else None
                 tails = _tails(np.ascontiguousarray(wide.T.astype(np.float64))) if exact else None
                 for i, one in enumerate(wide):
-                    have_ids, have, have_own = best[i]
+                    have_ids, have = best[i]
                     if exact and rows.shape[1]:
-                        floor = float(have.min()) if len(have) >= keep else -np.inf
-                        place, score = _search(block, one.astype(np.float64), tails[:, i : i + 1].ravel(), floor, keep)
+                        floor = float(have.min()) if len(have) >= k else -np.inf
+                        # one more than wanted where the query's own row is among them
+                        place, score = _search(block, one.astype(np.float64), tails[:, i : i + 1].ravel(), floor, k + (i in own))
                         score = score.astype(np.int64)
                     else:  # numbers too large for exact floats: whole numbers of any size, held to 64 bits at the end
                         place = np.arange(len(ids))
                         score = np.array([min(_MOST, max(_LEAST, sum(int(a) * int(b) for a, b in zip(r, one, strict=True)))) for r in rows], np.int64)
-                    own = known[place] & (ids[place] == qid[i])
-                    if own.any():
-                        own &= (rows[place] == one).all(1)
-                    all_ids, all_scores, all_own = np.concatenate([have_ids, ids[place]]), np.concatenate([have, score]), np.concatenate([have_own, own])
-                    top = np.lexsort((all_ids, -all_scores))[:keep]
-                    best[i] = all_ids[top], all_scores[top], all_own[top]
+                    if i in own:
+                        other = place != own[i]
+                        place, score = place[other], score[other]
+                    all_ids, all_scores = np.concatenate([have_ids, ids[place]]), np.concatenate([have, score])
+                    top = np.lexsort((all_ids, -all_scores))[:k]
+                    best[i] = all_ids[top], all_scores[top]
         for i in range(0, len(number), 1024):
             some = best[i : i + 1024]
             n = [len(x[0]) for x in some]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(number[i : i + 1024], n), pa.int64()),
-                    pa.array(np.repeat(qid[i : i + 1024], n), pa.int64()),
-                    *(pa.array(np.concatenate([x[c] for x in some])) for c in range(3)),
-                ],
-                ["number", "query_id", "vec_id", "score", "own"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(number[i : i + 1024], n), pa.int64()), *(pa.array(np.concatenate([x[c] for x in some])) for c in range(2))], ["number", "vec_id", "score"])
 
     return run
 
@@ -137,10 +130,11 @@ def _local(queries: tuple, k: int):
 def top_k(vectors: DataFrame, *, every: int = 100, k: int = 10, scale: int = 1024) -> DataFrame:
     """The ``k`` rows with the highest inner product for each row whose vec_id is divisible by ``every``.
 
-    Queries go in blocks of at most QUERY_BYTES, each sent to all tasks; a
-    task searches its candidates block by block and keeps k + 1 per query,
-    and a ranking with a limit merges the tasks. All candidates are compared;
-    what the bounds leave out can't be in the result.
+    Queries go in blocks of at most QUERY_BYTES, one after the other: a block
+    is sent to all tasks, each searches its candidates and keeps k per query,
+    a ranking with a limit merges the tasks, and the block's result is
+    written before the next is read, so that the driver holds one block. All
+    candidates are compared; what the bounds leave out can't be in the result.
 
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller
     vec_id. A query's own row is no candidate; a repeated row is. Vectors that
@@ -149,31 +143,24 @@ def top_k(vectors: DataFrame, *, every: int = 100, k: int = 10, scale: int = 102
     vec_id: no query, a candidate ranked after its ties. Scores beyond 64
     bits are held there. Empty table: empty. Other columns are ignored.
     """
-    ready = stash(quantised(vectors, scale), "topk-vectors")
+    ready = stash(quantised(vectors, scale).withColumn("number", F.monotonically_increasing_id()), "topk-vectors")
     queries = ready.where(F.pmod("vec_id", F.lit(every)) == 0)
     size = queries.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
-    found = []
-    candidates = ready.select(F.coalesce("vec_id", F.lit(_MOST)).alias("vec_id"), F.col("vec_id").isNotNull().alias("known"), "v")
-    schema = "number long, query_id long, vec_id long, score long, own boolean"
-    if size["n"]:
-        rows = max(1, QUERY_BYTES // (8 * max(1, size["d"])))
-        blocks = -(-size["n"] // rows)
-        dealt = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks * 2 if blocks > 1 else 1)))
-        for b in range(blocks * 2 if blocks > 1 else 1):
-            got = dealt.where(F.col("block") == b).orderBy("vec_id", "v").toArrow().combine_chunks()
-            for at in range(0, got.num_rows, rows):  # twice as many blocks as needed: one rarely holds more than fits
-                part = got.slice(at, rows).combine_chunks()
-                ids = part.column("vec_id").to_numpy()
-                matrix = _matrix(part.column("v").combine_chunks() if isinstance(part.column("v"), pa.ChunkedArray) else part.column("v"), 0)
-                number = np.arange(len(ids)) + at + (b << 32)
-                found.append(candidates.mapInArrow(_local((number, ids, matrix), k), schema))
-    else:
-        found.append(ready.sparkSession.createDataFrame([], schema))
-    every_task = reduce(DataFrame.unionByName, found)
-    order = (F.desc("score"), F.asc("vec_id"))
-    few = every_task.withColumn("r", F.row_number().over(Window.partitionBy("number").orderBy(*order))).where(F.col("r") <= k + 1)
-    first_own = F.min(F.when(F.col("own"), F.col("r"))).over(Window.partitionBy("number"))
-    few = few.withColumn("mine", first_own)
-    rank = F.col("r") - F.coalesce((F.col("r") > F.col("mine")).cast("int"), F.lit(0))
-    left = few.where(F.coalesce(F.col("r") != F.col("mine"), F.lit(True))).withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
-    return left.select("query_id", "rank", F.when(F.col("vec_id") != _MOST, F.col("vec_id")).alias("vec_id"), "score")
+    candidates = ready.select(F.coalesce("vec_id", F.lit(_MOST)).alias("vec_id"), "number", "v")
+    schema = "number long, vec_id long, score long"
+    found = [ready.sparkSession.createDataFrame([], schema + ", rank int")]
+    rows = max(1, QUERY_BYTES // (8 * max(1, size["d"] or 0)))
+    blocks = -(-size["n"] // rows)
+    dealt = queries.select("number", "v", F.pmod(F.xxhash64("number"), F.lit(max(1, blocks * 2 if blocks > 1 else 1))).alias("block"))
+    order = Window.partitionBy("number").orderBy(F.desc("score"), F.asc("vec_id"))
+    for b in range(blocks * 2 if blocks > 1 else blocks):  # twice as many as needed: one rarely holds more than fits
+        got = dealt.where(F.col("block") == b).toArrow().combine_chunks()
+        for at in range(0, got.num_rows, rows):
+            part = got.slice(at, rows).combine_chunks()
+            vs = part.column("v").combine_chunks()
+            best = candidates.mapInArrow(_local(part.column("number").to_numpy(), _matrix(vs, 0), k), schema)
+            best = best.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
+            found.append(stash(best, "topk-block"))
+    few = reduce(DataFrame.unionByName, found)
+    ids = queries.select("number", F.col("vec_id").alias("query_id"))
+    return few.join(ids, "number").select("query_id", "rank", F.when(F.col("vec_id") != _MOST, F.col("vec_id")).alias("vec_id"), "score")

@@ -56,6 +56,23 @@ def test_sharding(spark):
     assert sharding.shard(docs(spark, [])).count() == 0
 
 
+def test_sharding_of_equal_keys(spark):
+    small = [(3, "t" * 10, "a")] * 300 + [(3, "u" * (k % 50), "a") for k in range(300)]
+    rows = [*small, (3, "z" * 3000, "a"), (3, "z" * 2500, "a"), (3, None, "a")]
+    expect = None
+    for n in (1, 5):
+        out = sharding.shard(docs(spark, rows).repartition(n), max_bytes=4000).collect()
+        load = {}
+        for r in out:
+            load.setdefault(r.part, []).append(r.n_bytes)
+        assert len(out) == len(rows) and all(sum(x) <= 4000 for x in load.values())
+        assert all(sum(load[r.part]) == r.shard_bytes for r in out)
+        assert len(load) <= 2 + -(-sum(16 + len(t) for _, t, _ in small) // 3900)
+        shards = sorted(sorted(x) for x in load.values())
+        assert expect in (None, shards)
+        expect = shards
+
+
 def test_line_dedup(spark):
     block = "\n".join(text_of(7 + k, 9) for k in range(12))
     own = lambda k: "\n".join(text_of(1000 * k + j, 8) for j in range(6))
@@ -171,7 +188,12 @@ def test_top_k(spark):
         if q % 100 == 0:
             scored = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for m, (i, b) in enumerate(good) if m != n)
             expect += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:10])]
-    assert sorted(tuple(x) for x in topk.top_k(df).collect()) == sorted(expect)
+    for size in (topk.QUERY_BYTES, 8 * 37 * 2):  # one block of queries, and several
+        topk.QUERY_BYTES, before = size, topk.QUERY_BYTES
+        try:
+            assert sorted(tuple(x) for x in topk.top_k(df).collect()) == sorted(expect)
+        finally:
+            topk.QUERY_BYTES = before
     assert topk.top_k(df.where("false")).count() == 0
 
 
