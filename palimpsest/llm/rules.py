@@ -9,14 +9,13 @@ from pyspark.sql import functions as F
 
 from .words import Words, mix64, slices
 
-#: Buckets of the hashed multinomials; what a pass sends to the driver is one row per bucket at most.
-BUCKET_BITS = 16
-#: Words in an n-gram, at most. Pairs of words are so rare in most corpora that they only dilute the mean.
-ORDER = 1
-#: Pseudo-occurrences of every bucket in the raw corpus, in the target at its share: few sightings decide little.
+#: Buckets of the hashed multinomials of single words and of pairs; what a pass sends to the driver is one row per bucket at most.
+WORD_BITS, PAIR_BITS = 16, 18
+#: Pseudo-occurrences of every bucket in the raw corpus. In the target a word's have the target's share, a pair's the
+#: ratio of its two words: a pair seen seldom says what its words say.
 SMOOTH = 16.0
-#: A document is kept at this mean log-likelihood ratio per n-gram, or above.
-LEAST_RATIO = -0.3
+#: A document is kept at this log-likelihood ratio per n-gram, or above; chosen on the labelled rows of one table, see the README.
+LEAST_RATIO = -0.2
 #: Trusted ids that may be broadcast (16 MB); more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
 _SYMBOLS = np.zeros(256, bool)
@@ -60,17 +59,47 @@ def base_failed(stats: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def buckets(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and row of every n-gram of 1 to ORDER words."""
-    found = [w.ngrams(k) for k in range(1, ORDER + 1)]
-    hashes, rows = (np.concatenate(x) for x in zip(*found, strict=True))
-    return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), rows
+    """Bucket and row of every word and, behind all words' buckets, of every pair of words."""
+    words, row = w.ngrams(1)
+    pairs, pair_row = w.ngrams(2)
+    at = np.concatenate([words >> np.uint64(64 - WORD_BITS), (pairs >> np.uint64(64 - PAIR_BITS)) + np.uint64(1 << WORD_BITS)])
+    return at.astype(np.int64), np.concatenate([row, pair_row])
+
+
+SIZE = (1 << WORD_BITS) + (1 << PAIR_BITS)
+
+
+class Ratios:
+    """log(p_target / p_raw) of n-grams, from counts of their buckets."""
+
+    def __init__(self, raw: np.ndarray, target: np.ndarray):
+        cut = 1 << WORD_BITS
+        self.share = target[:cut].sum() / max(1.0, raw[:cut].sum())
+        if self.share:
+            self.words = np.log((target[:cut] + SMOOTH * self.share) / ((raw[:cut] + SMOOTH) * self.share))
+            self.raw, self.target = raw[cut:] + SMOOTH, target[cut:] / self.share
+
+    def means(self, w: Words) -> np.ndarray:
+        """Each row's mean over its words and mean over its pairs of words, in equal parts; a single word counts alone."""
+        if not self.share:
+            return np.zeros(w.rows)
+        at, rows = buckets(w)
+        n = len(w.start)
+        one = self.words[at[:n]]
+        first = np.flatnonzero(w.row[:-1] == w.row[1:]) if n else np.zeros(0, np.int64)
+        pair = at[n:] - (1 << WORD_BITS)
+        back = SMOOTH * np.exp((one[first] + one[first + 1]) / 2)
+        two = np.log((self.target[pair] + back) / self.raw[pair])
+        by_word = np.bincount(w.row, one, minlength=w.rows) / np.maximum(w.count, 1)
+        by_pair = np.bincount(rows[n:], two, minlength=w.rows) / np.maximum(w.count - 1, 1)
+        return np.where(w.count > 1, (by_word + by_pair) / 2, by_word)
 
 
 def _counts(ids: np.ndarray | None):
     """ids: sorted trusted doc_ids, or None if the rows carry a column ``trusted``."""
 
     def run(batches):
-        raw, target = np.zeros(1 << BUCKET_BITS, np.int64), np.zeros(1 << BUCKET_BITS, np.int64)
+        raw, target = np.zeros(SIZE, np.int64), np.zeros(SIZE, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 if ids is None:
@@ -86,8 +115,8 @@ def _counts(ids: np.ndarray | None):
     return run
 
 
-def log_ratios(documents: DataFrame, trusted: DataFrame) -> np.ndarray:
-    """log(p_target / p_raw) of each bucket. Counts come from every document; at most 2**BUCKET_BITS rows reach the driver."""
+def log_ratios(documents: DataFrame, trusted: DataFrame) -> Ratios:
+    """Counts come from every document; at most one row per bucket reaches the driver."""
     ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     docs = documents.select(F.col("doc_id").cast("long"), "text")
     if ids.count() <= BROADCAST_IDS:
@@ -96,14 +125,13 @@ def log_ratios(documents: DataFrame, trusted: DataFrame) -> np.ndarray:
         known = None
         docs = docs.join(ids.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     counts = docs.mapInArrow(_counts(known), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
-    raw, target = np.zeros(1 << BUCKET_BITS), np.zeros(1 << BUCKET_BITS)
+    raw, target = np.zeros(SIZE), np.zeros(SIZE)
     at = np.array(counts.column("bucket"), np.int64)
     raw[at], target[at] = np.array(counts.column("raw"), float), np.array(counts.column("target"), float)
-    share = target.sum() / max(1.0, raw.sum())
-    return np.log((target + SMOOTH * share) / ((raw + SMOOTH) * share)) if share else np.zeros(len(raw))
+    return Ratios(raw, target)
 
 
-def _judge(ratios: np.ndarray, least: float, carry: tuple[str, ...]):
+def _judge(ratios: Ratios, least: float, carry: tuple[str, ...]):
     more = ("text", *carry) if carry else ()
 
     def run(batches):
@@ -112,9 +140,7 @@ def _judge(ratios: np.ndarray, least: float, carry: tuple[str, ...]):
                 texts = part.column("text")
                 w = Words(texts)
                 stats = text_stats(w, texts)
-                at, rows = buckets(w)
-                total, n = np.bincount(rows, ratios[at], minlength=w.rows), np.bincount(rows, minlength=w.rows)
-                mean = np.round(total / np.maximum(n, 1), 9)
+                mean = np.round(ratios.means(w), 9)
                 failed = base_failed(stats)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), *map(pa.array, stats.values()), pa.array(failed), pa.array(mean), pa.array(~failed & (mean >= least)), *(part.column(c) for c in more)],
@@ -127,11 +153,13 @@ def _judge(ratios: np.ndarray, least: float, carry: tuple[str, ...]):
 def judge(documents: DataFrame, trusted: DataFrame, *, least: float = LEAST_RATIO, carry: tuple[str, ...] = ()) -> DataFrame:
     """Statistics and verdict of every row (doc_id, text); ``trusted`` (doc_id) names the target documents.
 
-    Two multinomials over hashed n-grams of up to ORDER words are counted,
-    one over the trusted documents, one over all. A row's ratio is the mean
-    of log(p_target / p_raw) over its n-grams. Kept: not base_failed (fewer
+    Two multinomials over hashed words and pairs of words are counted, one
+    over the trusted documents, one over all. A row's ratio is the mean of
+    log(p_target / p_raw) over its words and that over its pairs, in equal
+    parts; a rare pair falls back on its words. Kept: not base_failed (fewer
     than 10 words, or over a fifth of the words in repeated 5-word windows)
-    and ratio >= ``least``. No sampling: equal texts get equal verdicts.
+    and ratio >= ``least``, a tie included. No sampling: equal texts get equal
+    verdicts.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, ratio, kept, and text with the columns named

@@ -1,7 +1,9 @@
 """Corpus operators on small fixtures: brute force, edge cases, exact round trips."""
 
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -166,6 +168,37 @@ def test_quality_rules(spark):
     assert rules.judge(docs(spark, []), good).count() == 0
 
 
+def brute_ratios(texts, trusted):
+    """Mean log ratio of each text by counts of whole words and pairs."""
+    count = lambda which, k: Counter(g for i in which for w in [WORD.findall(texts[i] or "")] for g in zip(*(w[j:] for j in range(k)), strict=False))
+    raw, target = [count(texts, k) for k in (1, 2)], [count(trusted, k) for k in (1, 2)]
+    share = target[0].total() / raw[0].total()
+    smooth = rules.SMOOTH
+    one = {g: math.log((target[0][g] + smooth * share) / ((raw[0][g] + smooth) * share)) for g in raw[0]}
+    two = {g: math.log((target[1][g] / share + smooth * math.exp((one[g[:1]] + one[g[1:]]) / 2)) / (raw[1][g] + smooth)) for g in raw[1]}
+    out = {}
+    for i, t in texts.items():
+        w = WORD.findall(t or "")
+        means = [sum(x) / len(x) for x in ([one[(a,)] for a in w], [two[g] for g in zip(w, w[1:], strict=False)]) if x]
+        out[i] = sum(means) / len(means) if means else 0.0
+    return out
+
+
+def test_quality_verdict(spark):
+    r = random.Random(3)
+    texts = {i: " ".join(r.choice("abcdefg" if i % 3 else "fghijk") for _ in range(12 + i % 40)) for i in range(120)} | {500: None, 501: "a", 502: ""}
+    trusted = [i for i in texts if i % 3 and i % 2 and i < 500]
+    expect = brute_ratios(texts, trusted)
+    out = rules.judge(docs(spark, [(i, t, "s") for i, t in texts.items()]), spark.createDataFrame([(i,) for i in trusted], "doc_id long")).collect()
+    for x in out:
+        assert abs(x.ratio - expect[x.doc_id]) < 1e-6
+        assert x.kept == (not x.base_failed and round(expect[x.doc_id], 9) >= rules.LEAST_RATIO)
+    assert 10 < sum(x.kept for x in out) < 110
+    tie = max(x.ratio for x in out if not x.base_failed)
+    kept = rules.judge(docs(spark, [(i, t, "s") for i, t in texts.items()]), spark.createDataFrame([(i,) for i in trusted], "doc_id long"), least=tie).where("kept").collect()
+    assert {x.ratio for x in kept} == {tie}
+
+
 def test_classifier(spark):
     rows = [(i, text_of(i, 40) if i % 4 else " ".join(f"j{k}%%% A|" for k in range(40)), "a") for i in range(400)]
     labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(0, 400, 3)], "doc_id long, quality int, toxic int")
