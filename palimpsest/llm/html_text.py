@@ -26,7 +26,7 @@ COPIED = 0.5
 
 MAIN, OPEN, CHROME = 0, 1, 2
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math canvas object audio video xmp".split())
+RAW = frozenset("script style textarea title noscript template iframe svg canvas audio video xmp".split())
 #: Of these, what nothing but the end tag ends; the others, if left open, hold nothing.
 ENDLESS = frozenset("script style textarea title xmp".split())
 OUTSIDE = frozenset("nav header footer aside form head button select dialog menu fieldset".split())
@@ -247,7 +247,7 @@ def windows(tokens: np.ndarray, pages: np.ndarray, run: int) -> np.ndarray:
 
 def _fold(found: list[tuple[int, str]]) -> bytes:
     """Blocks as compressed lines; white space in them is single, so none has a line break."""
-    return zlib.compress("\n".join(f"{kind}{x}" for kind, x in found).encode())
+    return zlib.compress("\n".join(f"{kind}{x}" for kind, x in found).encode(), 2)
 
 
 def _unfold(page: bytes) -> list[tuple[int, str]]:
@@ -263,14 +263,21 @@ def _pages(batches):
             yield pa.RecordBatch.from_arrays([*map(part.column, names), pa.array(pages, pa.binary())], [*names, "page"])
 
 
-def _words(found: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a page's words, and for each the number of its stretch: no window spans words of an article and others."""
-    words = [w for _, x in found for w in x.split(" ")]
-    codes = pd.util.hash_array(np.array(words, object), categorize=True) if words else np.zeros(0, np.uint64)
-    sizes = [x.count(" ") + 1 for _, x in found]
-    main = np.array([kind == MAIN for kind, _ in found], bool)
-    turns = np.cumsum(np.append(False, main[1:] != main[:-1])) if len(main) else np.zeros(0, np.int64)
-    return codes, np.repeat(turns, sizes)
+class _Stream:
+    """The words of several pages in a row, with the page and the block of each."""
+
+    def __init__(self, pages: list[list[tuple[int, str]]]):
+        self.texts = [x for found in pages for _, x in found]
+        self.main = np.array([kind == MAIN for found in pages for kind, _ in found], bool)
+        self.page = np.repeat(np.arange(len(pages)), list(map(len, pages)))
+        self.sizes = np.array([x.count(" ") + 1 for x in self.texts], np.int64)
+        words = " ".join(self.texts).split(" ") if self.texts else []
+        self.codes = pd.util.hash_array(np.array(words, object), categorize=True) if words else np.zeros(0, np.uint64)
+        self.owner = np.repeat(self.page, self.sizes)
+        # no window spans words of two pages, or of an article and others
+        turn = np.ones(len(self.texts), bool)
+        turn[1:] = (self.page[1:] != self.page[:-1]) | (self.main[1:] != self.main[:-1])
+        self.stretch = np.repeat(np.cumsum(turn), self.sizes)
 
 
 def _window_hash(codes: np.ndarray, at: np.ndarray, run: int) -> np.ndarray:
@@ -299,24 +306,18 @@ def _repeats(run: int, least: int):
     A host's only group leaves out windows on fewer than ``least`` pages."""
 
     def work(key: tuple[pa.Scalar, ...], pages: pa.Table) -> pa.Table:
-        groups, streams, turns, seen = pages.column("groups")[0].as_py(), [], [], set()
+        groups, kept, seen = pages.column("groups")[0].as_py(), [], set()
         for k, page in zip(pages.column("k").to_pylist(), pages.column("page").to_pylist(), strict=True):
             if k not in seen:
                 seen.add(k)
-                codes, turn = _words(_unfold(page))
-                streams.append(codes)
-                turns.append(turn)
-        starts, start = [], 0
-        for turn in turns:
-            starts.append(turn + start)
-            start += int(turn[-1]) + 1 if len(turn) else 0
-        codes, stretch = np.concatenate(streams), np.concatenate(starts)
-        owner = np.repeat(np.arange(len(streams)), list(map(len, streams)))
+                kept.append(_unfold(page))
+        stream = _Stream(kept)
+        codes, stretch, owner = stream.codes, stream.stretch, stream.owner
         cls = windows(codes, stretch, run)
         at = np.flatnonzero(cls >= 0)
         some, first, inverse = np.unique(cls[at], return_index=True, return_inverse=True)
-        pairs = np.unique(inverse * len(streams) + owner[at])
-        counts = np.minimum(np.bincount(pairs // len(streams), minlength=len(some)), 255)
+        pairs = np.unique(inverse * len(kept) + owner[at])
+        counts = np.minimum(np.bincount(pairs // len(kept), minlength=len(some)), 255)
         h = _window_hash(codes, at[first], run)
         if groups == 1:
             h, counts = h[counts >= least], counts[counts >= least]
@@ -348,51 +349,53 @@ def _boilerplate(least: int):
     return work
 
 
-def _gone(found: list[tuple[int, str]], bad: np.ndarray, run: int) -> np.ndarray:
-    """Which words of a page are in repeated windows, whose hashes are in ``bad`` in order. A window that only reaches into a block by fewer than ``run`` words takes none of these."""
-    codes, stretch = _words(found)
-    n = len(codes)
+def _gone(stream: _Stream, bad: np.ndarray, run: int) -> np.ndarray:
+    """Which words are in repeated windows, whose hashes are in ``bad`` in order. A window that only reaches into a block by fewer than ``run`` words takes none of these."""
+    n = len(stream.codes)
     if n < run or not len(bad):
         return np.zeros(n, bool)
-    at = np.flatnonzero(stretch[: n - run + 1] == stretch[run - 1 :])
-    h = _window_hash(codes, at, run)
+    at = np.flatnonzero(stream.stretch[: n - run + 1] == stream.stretch[run - 1 :])
+    h = _window_hash(stream.codes, at, run)
     hit = at[bad[np.minimum(np.searchsorted(bad, h), len(bad) - 1)] == h]
     covered = np.zeros(n + 1, np.int64)
     np.add.at(covered, hit, 1)
     np.add.at(covered, hit + run, -1)
-    gone, start = np.cumsum(covered)[:-1] > 0, 0
-    for _, x in found:
-        own = gone[start : start + x.count(" ") + 1]
-        edges = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0]))))
-        for b, e in zip(edges[::2], edges[1::2], strict=True):
-            if e - b < min(run, len(own)):
-                own[b:e] = False
-        start += len(own)
-    return gone
-
-
-def _text(found: list[tuple[int, str]], bad: np.ndarray, run: int) -> str:
-    gone, start, out = _gone(found, bad, run), 0, []
-    of_main = np.repeat([kind == MAIN for kind, _ in found], [x.count(" ") + 1 for _, x in found]).astype(bool)
-    copied = gone[of_main].mean() >= COPIED if of_main.any() else False
-    for kind, x in found:
-        words = x.split(" ")
-        own = gone[start : start + len(words)]
-        start += len(words)
-        if kind == CHROME:
-            continue
-        if kind == OPEN or not copied:
-            x = " ".join(w for w, g in zip(words, own, strict=True) if not g)
-        if x:
-            out.append(x)
-    return "\n\n".join(out)
+    gone = np.cumsum(covered)[:-1] > 0
+    block = np.repeat(np.arange(len(stream.sizes)), stream.sizes)
+    cut = np.flatnonzero(np.append(True, (gone[1:] != gone[:-1]) | (block[1:] != block[:-1])))
+    length = np.diff(np.append(cut, n))
+    enough = length >= np.minimum(run, stream.sizes[block[cut]])
+    return gone & np.repeat(enough, length)
+
+
+def _main_texts(pages: list[list[tuple[int, str]]], bad: np.ndarray, run: int) -> list[str]:
+    stream = _Stream(pages)
+    gone = _gone(stream, bad, run)
+    of_main = np.repeat(stream.main, stream.sizes)
+    n = np.bincount(stream.owner[of_main], minlength=len(pages))
+    copied = np.bincount(stream.owner[of_main & gone], minlength=len(pages)) >= COPIED * np.maximum(n, 1)
+    ends = np.cumsum(stream.sizes)
+    some = np.add.reduceat(gone, ends - stream.sizes) > 0 if len(ends) else np.zeros(0, bool)
+    out, i = [], 0
+    for page, found in enumerate(pages):
+        kept = []
+        for kind, x in found:
+            if kind != CHROME:
+                if some[i] and (kind == OPEN or not copied[page]):
+                    own = gone[ends[i] - stream.sizes[i] : ends[i]]
+                    x = " ".join(w for w, g in zip(x.split(" "), own, strict=True) if not g)
+                if x:
+                    kept.append(x)
+            i += 1
+        out.append("\n\n".join(kept))
+    return out
 
 
 def _texts(run: int):
     def work(pages: pa.Table, marks: pa.Table) -> pa.Table:
         packed = marks.column("bad").to_pylist()
         bad = np.unique(np.concatenate([_unpack(x) for x in packed])) if packed else np.zeros(0, np.uint64)
-        texts = [_text(_unfold(page), bad, run) for page in pages.column("page").to_pylist()]
+        texts = _main_texts([_unfold(page) for page in pages.column("page").to_pylist()], bad, run)
         return pa.table([pages.column("page_id"), pages.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return work
@@ -402,7 +405,8 @@ def extract(pages: DataFrame, *, run: int = RUN, least_pages: int = PAGES) -> Da
     """Main text of every row (page_id, url, html).
 
     The words of a host's pages go through a suffix array. Windows of ``run``
-    words on ``least_pages`` pages or more are boilerplate, and the article or
+    words on ``least_pages`` pages or more are boilerplate (together they are
+    just the longest repeats of ``run`` words or more), and the article or
     main element and the blocks the markup leaves open, on every page, keep
     what no such window covers. An article that such windows cover by half or
     more is a copy, not boilerplate, and stays whole. Menus, headers, footers,

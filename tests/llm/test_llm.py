@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from palimpsest.llm import classifier, html_text, lines, mixing, near, pieces, rules, sharding, surrogates, topk
@@ -349,6 +350,50 @@ def test_windows_are_classes_of_equal_runs():
     assert len(set(runs.values())) == len(runs)
 
 
+def test_html_cover_is_that_of_the_longest_repeats():
+    r = random.Random(9)
+    shared = [[f"s{k}x{j}" for j in range(r.randrange(5, 30))] for k in range(6)]
+    pages = []
+    for p in range(7):
+        words = []
+        for k in r.sample(range(6), 4):
+            words += [f"p{p}k{k}j{j}" for j in range(r.randrange(1, 6))] + shared[k][r.randrange(3) :]
+        pages.append(words)
+    run, least = 4, 3
+    holds = lambda gram: sum(any(tuple(w[i : i + len(gram)]) == gram for i in range(len(w))) for w in pages)
+    expect = []
+    for w in pages:
+        covered = [False] * len(w)
+        for i in range(len(w)):  # the longest run of words from here that stands on enough pages
+            size = max((n for n in range(run, len(w) - i + 1) if holds(tuple(w[i : i + n])) >= least), default=0)
+            covered[i : i + size] = [True] * size
+        expect.append(covered)
+    folded = [[(html_text.OPEN, " ".join(w))] for w in pages]
+    table = pa.table({"k": range(7), "groups": [1] * 7, "page": [html_text._fold(f) for f in folded]})
+    rows = html_text._repeats(run, least)((pa.scalar("h"), pa.scalar(0)), table)
+    bad = np.unique(np.concatenate([html_text._unpack(x) for x in rows.column("hashes").to_pylist()]))
+    gone = html_text._gone(html_text._Stream(folded), bad, run)
+    assert gone.tolist() == [x for c in expect for x in c] and 0 < gone.sum() < len(gone)
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ('<div>The whole story of the day</div><article class="teaser">Teaser.</article>', "The whole story of the day|Teaser."),
+        ('<article>Up <section class="share-price">price 5</section><p class="sponsored-research">study</p></article>', "Up|price 5|study"),
+        ("<article><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> and <object>a chart</object>.</p></article>", "Energy is E=m and a chart."),
+    ],
+)
+def test_html_keeps_what_is_no_chrome(html, text):
+    assert "|".join(x for kind, x in html_text.blocks(html) if kind != html_text.CHROME) == text
+
+
+def test_html_very_long_page(spark):
+    long = " ".join(f"w{k}" for k in range(300_000))
+    df = spark.createDataFrame([(1, "http://h.example/1", f"<article><p>{long}</p></article>")], "page_id long, url string, html string")
+    assert html_text.extract(df).first().text == long
+
+
 def test_pii(spark):
     rows = [
         (1, "Mail bob.smith@acme.com or BOB.SMITH@ACME.COM, ip 10.20.30.40, card 4111 1111 1111 1111, +1 (132) 555-1352", "a"),
