@@ -11,18 +11,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rules import text_stats
-from .words import Words, slices
+from .words import Words, mix64, slices
 
 #: Rows the model is fitted on, at most: trusted positives, unlabelled texts, labelled rows for the class prior.
 POSITIVES, UNLABELLED, PRIOR_ROWS = 6_000, 12_000, 100_000
-#: Hashed word features; passes over the sample; step size; weight decay.
-HASHED, EPOCHS, STEP, DECAY = 512, 60, 0.02, 3e-3
+#: Places for hashed words, and for a word's last byte and length; steps over the sample; step size; weight decay,
+#: chosen by held-back folds among the training rows.
+HASHED, SHAPES, STEPS, STEP, DECAY = 512, 128, 300, 0.02, 1e-2
 SEED = 7
 FOLDS, HELD_OUT = 4, 2
 
 
 def features(texts: pa.Array) -> np.ndarray:
-    """One row per text: shares and lengths of what the text is made of, and its words hashed to HASHED places."""
+    """One row per text: shares and lengths of what the text is made of; its words hashed to HASHED places; their last
+    bytes and lengths hashed to SHAPES places."""
     w = Words(texts)
     stats = text_stats(w, texts)
     n = np.maximum(1, stats["n_words"]).astype(np.float64)
@@ -56,11 +58,14 @@ def features(texts: pa.Array) -> np.ndarray:
         ],
         axis=1,
     )
-    short = w.end - w.start
-    tail = w.data[np.maximum(w.end - 1, 0)].astype(np.int64)  # the last byte of a word, and its length
-    shape = (tail * 16 + np.minimum(short, 15)) % HASHED
-    hashed = np.bincount(w.row * HASHED + shape, minlength=w.rows * HASHED).reshape(w.rows, HASHED)
-    return np.concatenate([dense, np.sqrt(hashed / n[:, None])], axis=1).astype(np.float32)
+    tail = w.data[np.maximum(w.end - 1, 0)].astype(np.uint64)
+    shape = mix64(tail * np.uint64(16) + np.minimum(w.end - w.start, 15).astype(np.uint64)) % np.uint64(SHAPES)
+    word = w.hash % np.uint64(HASHED)
+    parts = [dense]
+    for at, size in ((word, HASHED), (shape, SHAPES)):
+        counts = np.bincount(w.row * size + at.astype(np.int64), minlength=w.rows * size).reshape(w.rows, size)
+        parts.append(np.sqrt(counts / n[:, None]))
+    return np.concatenate(parts, axis=1).astype(np.float32)
 
 
 @dataclass
@@ -75,36 +80,38 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
-    """Minimise prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) with the logistic loss.
+def risk(weights: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """prior * R+(positive) + max(0, R-(unlabelled) - prior * R-(positive)) with the logistic loss, and the direction to leave.
 
-    Where the second part falls below zero, the step goes against it, so a
-    flexible model can't gain by calling the positives in the unlabelled
-    sample negative. Full batches and fixed order: reruns agree.
+    ``weights`` ends with the bias. The direction is the gradient; where the
+    second part is below zero, it is that part's negative gradient instead,
+    so a flexible model can't gain by calling the positives in the unlabelled
+    sample negative.
     """
-    both = np.concatenate([positive, unlabelled]).astype(np.float64)
-    mean, spread = both.mean(0), both.std(0) + 1e-3
-    p, u = (np.clip((x - mean) / spread, -6, 6) for x in (positive, unlabelled))
-    w, b = np.zeros(both.shape[1]), 0.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    zp, zu = (x @ weights[:-1] + weights[-1] for x in (positive, unlabelled))
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     loss = lambda z: np.logaddexp(0, -z)
-    steps = 0
-    for _ in range(EPOCHS * 5):
-        zp, zu = p @ w + b, u @ w + b
-        negative = loss(-zu).mean() - prior * loss(-zp).mean()
-        # derivatives by z: of loss(z) it is sigmoid(z) - 1, of loss(-z) sigmoid(z)
-        gu, gp_minus, gp_plus = sigmoid(zu) / len(zu), prior * sigmoid(zp) / len(zp), prior * (sigmoid(zp) - 1) / len(zp)
-        if negative >= 0:
-            on_p, on_u = gp_plus - gp_minus, gu
-        else:
-            on_p, on_u = gp_minus, -gu
-        grad = np.append(p.T @ on_p + u.T @ on_u + DECAY * w, on_p.sum() + on_u.sum())
-        steps += 1
+    negative = loss(-zu).mean() - prior * loss(-zp).mean()
+    # derivatives by z: of loss(z) it is sigmoid(z) - 1, of loss(-z) sigmoid(z)
+    gu, gp_minus, gp_plus = sigmoid(zu) / len(zu), prior * sigmoid(zp) / len(zp), prior * (sigmoid(zp) - 1) / len(zp)
+    on_p, on_u = (gp_plus - gp_minus, gu) if negative >= 0 else (gp_minus, -gu)
+    grad = np.append(positive.T @ on_p + unlabelled.T @ on_u, on_p.sum() + on_u.sum())
+    return float(prior * loss(zp).mean() + max(0.0, negative)), grad
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, decay: float = DECAY) -> Model:
+    """Minimise the non-negative risk with a weight decay. Full batches and fixed order: reruns agree."""
+    n = len(positive) + len(unlabelled)
+    mean = (positive.sum(0, dtype=np.float64) + unlabelled.sum(0, dtype=np.float64)) / n
+    spread = np.sqrt(sum(((x - mean) ** 2).sum(0) for x in (positive, unlabelled)) / n) + 1e-3
+    p, u = (np.clip((x - mean) / spread, -6, 6).astype(np.float32) for x in (positive, unlabelled))
+    w = np.zeros(positive.shape[1] + 1)
+    m, v = np.zeros(len(w)), np.zeros(len(w))
+    for step in range(1, STEPS + 1):
+        grad = risk(w.astype(np.float32), p, u, prior)[1] + np.append(decay * w[:-1], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        move = STEP * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.999**steps)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
-    return Model(mean, spread, w, float(b))
+        w = w - STEP * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return Model(mean, spread, w[:-1], float(w[-1]))
 
 
 def in_training(doc_id) -> F.Column:
@@ -134,7 +141,9 @@ def train(documents: DataFrame, labels: DataFrame) -> Model | None:
     some = documents.where("doc_id is not null").where(in_training(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"))
     free = some.orderBy(F.xxhash64("doc_id", F.lit(SEED + 1)), "doc_id").limit(UNLABELLED).distinct().select("doc_id", F.lit(False).alias("positive"))
     chosen = good.unionByName(free)  # bounded by the two limits
-    x = documents.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_features_of, "doc_id long, positive boolean, x array<float>")
+    # of rows that share an id, the smallest text: no more rows than ids
+    texts = documents.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "positive").agg(F.min("text").alias("text"))
+    x = texts.mapInArrow(_features_of, "doc_id long, positive boolean, x array<float>")
     share = usable.orderBy(order, "doc_id").limit(PRIOR_ROWS).agg(F.avg((F.col("quality") == 1).cast("double")).alias("p")).first()["p"]
     got = x.toArrow()
     if not share or got.num_rows == 0:

@@ -209,6 +209,43 @@ def test_classifier(spark):
     assert all(0 <= r.score <= 1 for r in out)
     empty = labels.where("false")
     assert {r.score for r in classifier.classify(docs(spark, ODD), empty).collect()} == {0.5}
+    assert classifier.classify(docs(spark, []), labels).count() == 0
+    many = classifier.train(docs(spark, [*rows, *[(1, f"copy {k} of one id", "a") for k in range(3000)]]), labels)
+    assert many is not None  # rows that share an id make one row of the sample
+
+
+def test_scores_see_labels_and_text_only(spark):
+    rows = [(i, text_of(i, 40) if i % 4 else " ".join(f"j{k}%%% A|" for k in range(40)), "a") for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    held = {r.doc_id for r in classifier.classify(docs(spark, rows), labels).where("held_out").collect()}
+    turned = spark.createDataFrame([(i, int(i % 4 > 0) ^ (i in held), 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    moved = [(i, t, "b") for i, t, _ in rows]
+    scores = [sorted((r.doc_id, r.score) for r in classifier.classify(d, x).collect()) for d, x in ((docs(spark, rows), labels), (docs(spark, moved), turned))]
+    assert scores[0] == scores[1]
+
+
+def test_risk_and_its_direction():
+    r = np.random.default_rng(2)
+    p, u = r.normal(1, 1, (40, 3)), r.normal(0, 1, (60, 3))
+
+    def parts(w, prior):
+        z = lambda x: x @ w[:-1] + w[-1]
+        plus = prior * np.mean([math.log1p(math.exp(-a)) for a in z(p)])
+        minus = np.mean([math.log1p(math.exp(a)) for a in z(u)]) - prior * np.mean([math.log1p(math.exp(a)) for a in z(p)])
+        return plus, minus
+
+    seen = set()
+    for w, prior in ((np.array([0.1, -0.2, 0.3, 0.1]), 0.4), (np.array([2.0, 2.0, 2.0, -1.0]), 0.95)):
+        plus, minus = parts(w, prior)
+        value, direction = classifier.risk(w, p, u, prior)
+        assert abs(value - plus - max(0, minus)) < 1e-9
+        seen.add(minus >= 0)
+        for k in range(4):
+            e = np.eye(4)[k] * 1e-5
+            (a, b), (c, d) = parts(w + e, prior), parts(w - e, prior)
+            slope = (a + b - c - d) / 2e-5 if minus >= 0 else -(b - d) / 2e-5
+            assert abs(direction[k] - slope) < 1e-6
+    assert seen == {True, False}
 
 
 def test_top_k(spark):
