@@ -80,12 +80,14 @@ def line_dedup(documents: DataFrame, *, carry: tuple[str, ...] = ()) -> DataFram
     marks = marks.withColumnRenamed("doc_id", "mark_id")
 
     same = lambda m: F.coalesce(_text(m["s"], m["e"]) == m["bytes"], F.lit(False))
+    before = lambda k: F.when(k > 0, F.get("edges", k - 1)["e"]).otherwise(0)
     cut = (
         documents.select("doc_id", "text", *carry)
         .join(marks, F.col("doc_id").eqNullSafe(F.col("mark_id")), "left")
         .select("doc_id", "text", F.split("text", "\n", -1).alias("lines"), "marks", *carry)
-        .withColumn("gone", F.transform(F.filter("marks", same), lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"))))
-        .withColumn("left", F.filter("lines", lambda x, i: ~F.exists("gone", lambda g: (i >= g["s"]) & (i < g["e"]))))
+        .withColumn("gone", F.array_sort(F.transform(F.filter("marks", same), lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e")))))
+        .withColumn("edges", F.concat("gone", F.array(F.struct(F.size("lines").alias("s"), F.size("lines").alias("e")))))
+        .withColumn("left", F.flatten(F.transform("edges", lambda g, k: F.slice("lines", before(k) + 1, g["s"] - before(k)))))
     )
     touched = F.coalesce(F.size("gone") > 0, F.lit(False))
     return cut.select(

@@ -117,20 +117,15 @@ def repeat_rows(documents: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mix itself: each row of ``documents`` as often as ``mix`` says, with its own columns.
 
     Rows are matched by doc_id and size; rows that share both take the mean
-    share of their group, handed out in turn.
+    share of their group, handed out in the order of a hash of the whole row.
     """
-    columns = documents.columns
     times = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_words")).agg(
         F.min("repeats").alias("_least"), F.sum("repeats").alias("_all"), F.count("*").alias("_rows")
     )
-    left = documents.withColumn("_size", word_count(F.col("text")))
-    joined = left.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_words")))
+    # the row's own columns travel in one struct, whatever their names
+    left = documents.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), word_count(F.col("text")).alias("_size"))
+    joined = left.join(times, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_words")))
     single = joined.where("_rows = 1").withColumn("_n", F.col("_all"))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_size").orderBy(F.lit(1)))
+    nth = F.row_number().over(Window.partitionBy("_doc", "_size").orderBy(F.xxhash64("_row")))
     shared = joined.where("_rows > 1").withColumn("_n", F.col("_least") + (nth <= F.col("_all") - F.col("_least") * F.col("_rows")).cast("long"))
-    return (
-        single.unionByName(shared)
-        .where("_n > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
-        .select(*columns)
-    )
+    return single.unionByName(shared).where("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select("_row.*")

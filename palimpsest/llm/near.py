@@ -54,8 +54,8 @@ def _sketches(words: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = list(shingle_sets(part.column("text"), words))
-                columns = [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *_digests(sets), _lists([s[:SKETCH] for s in sets])]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "d1", "d2", "sketch"])
+                columns = [part.column("doc_id"), part.column("row"), pa.array([len(s) for s in sets], pa.int64()), *_digests(sets), _lists([s[:SKETCH] for s in sets])]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n_shingles", "d1", "d2", "sketch"])
 
     return run
 
@@ -167,18 +167,20 @@ def near_duplicates(documents: DataFrame, *, words: int = 5, percent: int = 80)
        the two orders leave room for the similarity; the union's sketch then
        suggests it, and the full sets confirm it.
 
-    Returns doc_id, n_shingles, component_id (smallest doc_id reachable) and
-    kept (doc_id = component_id). Null or wordless texts have no shingles and
+    Returns doc_id, n_shingles, component_id (smallest doc_id reachable), kept
+    (doc_id = component_id), row (a digest of doc_id and text) and stays: true
+    for the rows of just one doc_id and text of each component, also where
+    doc_ids are shared or null. Null or wordless texts have no shingles and
     stand alone. Rows that share a doc_id and a set are kept or not together.
     Empty table: empty. Other columns are ignored.
     """
     if percent < 75:
         raise ValueError("the sketch's bounds hold for similarities of 75 % and more")
     docs = documents.select(F.col("doc_id").cast("long"), "text")
-    sketched = stash(docs.mapInArrow(_sketches(words), "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>"), "near-sketches")
-    classes = sketched.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    classes = stash(classes.withColumn("cls", F.monotonically_increasing_id()), "near-classes")
-    rows = stash(sketched.select("doc_id", "n_shingles", "d1", "d2"), "near-rows")
+    sketched = stash(docs.withColumn("row", F.xxhash64("doc_id", "text")).mapInArrow(_sketches(words), "doc_id long, row long, n_shingles long, d1 long, d2 long, sketch array<long>"), "near-sketches")
+    classes = sketched.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("one"), F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    classes = stash(classes.withColumn("rep", F.col("one.doc_id")).withColumn("cls", F.monotonically_increasing_id()), "near-classes")
+    rows = stash(sketched.select("doc_id", "row", "n_shingles", "d1", "d2"), "near-rows")
     discard(sketched)
 
     least = lambda n: F.ceil(n * percent / 100)
@@ -202,11 +204,28 @@ def near_duplicates(documents: DataFrame, *, words: int = 5, percent: int = 80)
         turn += 1
     discard(sets)
 
-    labels = classes.select("cls", "rep", "d1", "d2").join(nodes.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    smallest = labels.groupBy("label").agg(F.min("rep").alias("component_id"))
-    component = stash(labels.join(smallest, "label").select("d1", "d2", "component_id"), "near-components")
-    found = rows.join(component, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    labels = classes.select("cls", "one", "d1", "d2").join(nodes.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    smallest = labels.groupBy("label").agg(F.min("one").alias("one"))
+    component = stash(labels.drop("one").join(smallest, "label").select("d1", "d2", F.col("one.doc_id").alias("component_id"), F.col("one.row").alias("stays_row")), "near-components")
+    found = rows.join(component, ["d1", "d2"], "left")
+    stays = (F.col("n_shingles") == 0) | (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("row") == F.col("stays_row")))
+    found = found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "row", stays.alias("stays"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "row", "stays")
+
+
+def without_near_duplicates(documents: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component of ``near_duplicates``, with all its columns; rows without words stay.
+
+    Of rows that share doc_id and text, one stays. What is shuffled is the
+    rows that go and the rows that occur more than once; the others pass.
+    """
+    found = stash(near_duplicates(documents, words=words, percent=percent).select("doc_id", "row", "n_shingles", "stays"), "near-found")
+    gone = found.where("not stays").select(F.col("row").alias("_row")).distinct()
+    twice = found.where("stays and n_shingles > 0").groupBy(F.col("row").alias("_row")).agg(F.count("*").alias("_rows")).where("_rows > 1").select("_row")
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+    left = documents.join(stash(gone, "near-gone"), key == F.col("_row"), "left_anti")
+    twice = stash(twice, "near-twice")
+    return left.join(twice, key == F.col("_row"), "left_anti").unionByName(left.join(twice, key == F.col("_row"), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def _turn(lists: DataFrame, nodes: DataFrame, turn: int, percent: int) -> tuple[DataFrame, DataFrame]:
