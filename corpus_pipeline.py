@@ -2,7 +2,9 @@
 
 A stage takes (spark, docs, sf_dir), returns a DataFrame, and is written as
 Parquet and read again before the next. All but the last return the columns
-of ``documents``.
+of ``documents``, and other columns are dropped. Null, empty and very long
+texts, shared and null doc_ids, repeated rows and empty tables are as each
+operator states: null and empty texts fail the quality rules and go there.
 """
 
 from __future__ import annotations
@@ -28,10 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (5-word shingles, 80%): the smallest doc_id."""
-    found = near.near_duplicates(docs, words=5, percent=80)
-    gone = stash(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")), "pipeline-gone")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*COLUMNS)
+    """One document of each group of near-duplicates (5-word shingles, 80%): the one with the smallest doc_id."""
+    return near.without_near_duplicates(docs, words=5, percent=80).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ STAGES = [
     ("mixing sources", mix_sources),
     ("SentencePiece encoding", encode),
 ]
-#: Sketches and piece lattices are beyond SQL; tests compare the stages with brute force.
+#: Sketches and piece lattices are beyond SQL; tests/llm/test_pipeline.py compares every stage with brute force.
 ORACLE_SQL = None
 
 
