@@ -3,72 +3,121 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.names import is_name_rule, name_rule, name_run
 from ..functions.validators import validator
-from ..plans.rules import RULES, Rule, java_pattern
+from ..plans.rules import RULES, SPACES, Rule, java_pattern
 
 
 def segment_lines(documents: DataFrame) -> DataFrame:
     """Non-empty lines of (doc_id, text): doc_id, line_no (from 0), line, line_start in code points. Only \\n ends a line."""
-    rows = documents.select("doc_id", F.split("text", "\n", -1).alias("_lines"))
-    starts = F.transform("_lines", lambda x, i: F.struct(i.alias("line_no"), x.alias("line"), (F.length(F.array_join(F.slice(F.col("_lines"), 1, i), "\n")) + F.when(i > 0, 1).otherwise(0)).alias("line_start")))
-    return rows.select("doc_id", F.explode(starts).alias("l")).where(F.length("l.line") > 0).select("doc_id", "l.line_no", "l.line", "l.line_start")
+    lines = F.split("text", "\n", -1)
+    rows = documents.select("doc_id", F.posexplode(F.arrays_zip(lines.alias("line"), _ends(F.transform(lines, lambda x: F.length(x) + 1)).alias("end"))).alias("line_no", "l"))
+    return rows.where(F.length("l.line") > 0).select("doc_id", "line_no", F.col("l.line").alias("line"), (F.col("l.end") - F.length("l.line") - 1).alias("line_start"))
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Array of (value, start) of all leftmost matches: the pieces between them give the offsets. Zero-width ones are skipped."""
-    found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = lambda i: F.length(F.array_join(F.slice(pieces, F.lit(1), i + 1), "")) + F.length(F.array_join(F.slice(found, F.lit(1), i), ""))
-    return F.filter(F.transform(found, lambda v, i: F.struct(v.alias("value"), start(i).cast("int").alias("start"))), lambda m: F.length(m["value"]) > 0)
+def _ends(sizes: Column) -> Column:
+    """Running sums of an array in one pass."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("v"))
+    return F.aggregate(sizes, start, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["v"], F.array(a["at"] + x)).alias("v")))["v"]
 
 
-def rule_spans(text: Column, base: Column, rule: Rule, order: int) -> Column:
-    """Spans of one rule in ``text``, both ends trimmed and checked; null where its cheap test fails."""
-    trimmed = F.transform(
-        matches(text, java_pattern(rule.pattern, rule.flags)),
-        lambda m: F.struct(F.regexp_replace(m["value"], r"^\s+|\s+$", "").alias("value"), (m["start"] + F.length(F.regexp_extract(m["value"], r"^\s*", 0))).alias("start")),
-    )
-    check = validator(rule.validate) if rule.validate else None
-    good = F.filter(trimmed, lambda m: (F.length(m["value"]) > 0) & (check(m["value"]) if check else F.lit(True)))
-    spans = F.transform(
-        good,
-        lambda m: F.struct(
-            F.lit(rule.type).alias("type"),
-            m["value"].alias("value"),
-            (m["start"] + base).cast("int").alias("start"),
-            (m["start"] + base + F.length(m["value"])).cast("int").alias("end"),
-            F.lit(rule.confidence).alias("confidence"),
-            F.lit(rule.detector).alias("detector"),
-            F.lit(order).alias("ordinal"),
-        ),
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _matches_sql(column: str, pattern: str, ordinal: int = 0) -> str:
+    """SQL for an array of (ordinal, value, start) of all leftmost matches: the pieces between them give the offsets, in one pass."""
+    p, hit = _literal(pattern), "struct<ordinal:int,value:string,start:int>"
+    return (
+        f"aggregate(zip_with(split({column}, {p}, -1), regexp_extract_all({column}, {p}, 0), (p, v) -> struct(p, v)), "
+        f"struct(0 as at, cast(array() as array<{hit}>) as hits), (a, x) -> struct(a.at + length(x.p) + coalesce(length(x.v), 0) as at, "
+        f"if(x.v is null or x.v = '', a.hits, concat(a.hits, array(struct({ordinal} as ordinal, x.v as value, a.at + length(x.p) as start)))) as hits)).hits"
     )
-    return F.when(text.rlike(rule.need), spans) if rule.need else spans
+
+
+def matches(column: str, pattern: str) -> Column:
+    """Array of (ordinal, value, start) of all leftmost matches in a column; zero-width ones are skipped."""
+    return F.expr(_matches_sql(column, pattern))
+
+
+def _candidates(texts: DataFrame, column: str, rules: list[tuple[int, Rule]]) -> DataFrame:
+    """One row for each match of a rule: the other columns with ordinal, value, start. A rule whose cheap test fails is not tried.
+
+    The rules are one SQL text, so that building the plan takes little time, and the pattern of each is a literal, compiled once.
+    """
+    none = "cast(array() as array<struct<ordinal:int,value:string,start:int>>)"
+    each = []
+    for i, r in rules:
+        pattern = java_pattern(r.pattern, r.flags, flat=True)
+        tests = ([f"_flat rlike {_literal(r.need)}"] if r.need else []) + [f"_flat rlike {_literal(pattern)}"]
+        each.append(f"if({' and '.join(tests)}, {_matches_sql('_flat', pattern, i)}, {none})")
+    # outer: an inner explode makes the planner test the whole array once more before it
+    flat = texts.withColumn("_flat", F.translate(F.col(column), SPACES, " " * len(SPACES)))
+    rows = flat.withColumn("_hit", F.explode_outer(F.expr(f"concat({', '.join(each)})"))).where("_hit is not null")
+    value = F.substr(F.col(column), F.col("_hit.start") + 1, F.length("_hit.value"))
+    return rows.select(*[c for c in texts.columns if c != column], "_hit.ordinal", value.alias("value"), "_hit.start")
 
 
 def scan(documents: DataFrame, rules: Iterable[Rule] = RULES) -> DataFrame:
     """Candidate spans of (doc_id, text): one pass over the lines for all rules, and over whole texts for multi-line rules.
 
     Columns doc_id, type, value, start, end, confidence, detector, ordinal.
-    Each rule is a literal pattern, compiled once; lines that lack what a
-    rule needs skip it. No shuffle.
+    Both ends are trimmed, a rule's check decides last, and names are cut to
+    their run of capitalised words. Null texts have no spans. No shuffle.
     """
     rules = list(enumerate(rules))
     found = []
     by_line = [(i, r) for i, r in rules if not r.multiline]
     if by_line:
-        lines = segment_lines(documents).withColumn("_hits", F.flatten(F.array_compact(F.array(*[rule_spans(F.col("line"), F.col("line_start"), r, i) for i, r in by_line]))))
-        found.append(lines.select("doc_id", F.explode("_hits").alias("s")))
-    for i, r in rules:
-        if r.multiline:
-            found.append(documents.select("doc_id", F.explode(rule_spans(F.col("text"), F.lit(0), r, i)).alias("s")))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.select("doc_id", "s.*")
+        hits = _candidates(segment_lines(documents).select("doc_id", "line", "line_start"), "line", by_line)
+        found.append(hits.select("doc_id", "ordinal", "value", (F.col("start") + F.col("line_start")).alias("start")))
+    whole = [(i, r) for i, r in rules if r.multiline]
+    if whole:
+        found.append(_candidates(documents.where("text is not null").select("doc_id", "text"), "text", whole).select("doc_id", "ordinal", "value", "start"))
+    return checked(reduce(DataFrame.unionByName, found), rules)
+
+
+def checked(hits: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
+    """Hits (doc_id, ordinal, value, start, ...) as spans: trimmed, checked, cut to names, with what their rules say."""
+    of = lambda f: "element_at(array(" + ", ".join(f(r) for _, r in rules) + "), _place)"
+    place = "element_at(map(" + ", ".join(f"{i}, {k + 1}" for k, (i, _) in enumerate(rules)) + "), ordinal)" if [i for i, _ in rules] != list(range(len(rules))) else "ordinal + 1"
+    other = [c for c in hits.columns if c not in ("ordinal", "value", "start")]
+
+    def fixed(df: DataFrame, **columns: Column) -> DataFrame:
+        """Columns as the output of an explode: the planner would write their expressions out wherever they are used."""
+        kept = [c for c in df.columns if c not in columns and c != "_fixed"]
+        return df.select(*kept, F.explode_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_fixed")).select(*kept, "_fixed.*")
+
+    lead = F.length(F.regexp_extract("value", r"^\s*", 0))
+    check = F.expr(of(lambda r: _literal(r.validate or "")))
+    detector = F.expr(of(lambda r: _literal(r.detector)))
+    rows = fixed(hits.withColumn("_place", F.expr(place)), start=F.col("start") + lead, value=F.regexp_replace("value", r"^\s+|\s+$", ""), _check=check, detector=detector).where("value <> ''")
+    names = sorted({r.validate for _, r in rules if r.validate})
+    if names:
+        good = F.when(F.col("_check") == "", True)
+        for name in names:
+            good = good.when(F.col("_check") == name, validator(name)(F.col("value")))
+        rows = rows.where(F.coalesce(good, F.lit(False)))
+    if any(is_name_rule(r.detector) for _, r in rules):
+        run = F.when(name_rule(F.col("detector")), name_run(F.col("detector"), F.col("value"))).otherwise(F.struct(F.lit(0).alias("skip"), F.col("value").alias("value")))
+        rows = fixed(rows, _run=run).where("_run is not null")
+        rows = fixed(rows, start=F.col("start") + F.col("_run.skip"), value=F.col("_run.value"))
+    return rows.select(
+        *other,
+        F.expr(of(lambda r: _literal(r.type))).alias("type"),
+        "value",
+        F.col("start").cast("int").alias("start"),
+        (F.col("start") + F.length("value")).cast("int").alias("end"),
+        F.expr(of(lambda r: f"cast({r.confidence} as double)")).alias("confidence"),
+        "detector",
+        F.col("ordinal").cast("int").alias("ordinal"),
+    )
 
 
 def number_spans(spans: DataFrame) -> DataFrame:

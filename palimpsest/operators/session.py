@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 TOKEN = r"\[[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*_[0-9]+\]"
+#: A placeholder as a model may have mangled it: in brackets in any case and with any separator, or bare in capitals.
+MANGLED = r"[*`~]*\[[*`~]*[A-Za-z][A-Za-z0-9 _*`~-]{0,60}[ _-][*`~]*[0-9]+[*`~]*\][*`~]*|(?<![\p{L}\p{N}_\[<])[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*_[0-9]+(?![\p{L}\p{N}_])"
 BLANK = "________"
 MAX_ENTRIES = 10_000
 
@@ -60,41 +62,66 @@ def normalise_replacements(items: Column) -> Column:
 
 
 def apply_replacements(text: Column, items: Column) -> Column:
-    """``text`` with each (start, end, replacement) of normalised items put in."""
-    done = F.aggregate(
-        items,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["out"], F.substr(text, a["at"] + 1, s["start"] - a["at"]), s["replacement"]).alias("out")),
-    )
-    return F.concat(done["out"], F.substr(text, done["at"] + 1))
+    """``text`` with each (start, end, replacement) of normalised items put in: the pieces are made once and joined once."""
+
+    def put(k: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(k, i - 1)["end"]).otherwise(0)
+        pieces = F.transform(k, lambda s, i: F.concat(F.substr(text, before(i) + 1, s["start"] - before(i)), s["replacement"]))
+        return F.concat(F.array_join(pieces, ""), F.substr(text, F.coalesce(F.get(k, F.size(k) - 1)["end"], F.lit(0)) + 1))
+
+    # bound in a one-element array, so that the items are computed once
+    return F.get(F.transform(F.array(items), put), 0)
 
 
 def redact(documents: DataFrame, spans: DataFrame, mapping: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
-    """doc_id and text with every span replaced: by its placeholder in ``mapping``, or blanked without one."""
+    """doc_id and text with every span replaced: by its placeholder in ``mapping``, or blanked without one.
+
+    A span counts where the text has its value at its place, so rows that
+    share a doc_id take their own spans only, and so do rows with a null one.
+    Other columns are ignored.
+    """
     if mapping is None:
-        items = spans.select("doc_id", F.struct("start", "end", F.lit(BLANK).alias("replacement")).alias("i"))
+        items = spans.select("doc_id", F.struct("start", "end", F.lit(BLANK).alias("replacement"), "value").alias("i"))
     else:
         keyed = mapping.select(F.col(key).alias("_k"), "original", "replacement")
-        items = spans.join(keyed, (spans[key] == F.col("_k")) & (F.col("value") == F.col("original"))).select("doc_id", F.struct("start", "end", "replacement").alias("i"))
-    grouped = items.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("i").alias("items"))
-    rows = documents.select("doc_id", "text").join(grouped, F.col("doc_id") == F.col("_id"), "left").withColumn("items", normalise_replacements(F.col("items")))
-    return rows.select("doc_id", F.when(F.col("items").isNull(), F.col("text")).otherwise(apply_replacements(F.col("text"), F.col("items"))).alias("text"))
+        items = spans.join(keyed, spans[key].eqNullSafe(F.col("_k")) & (F.col("value") == F.col("original"))).select("doc_id", F.struct("start", "end", "replacement", "value").alias("i"))
+    grouped = items.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("i").alias("items"))
+    rows = documents.select("doc_id", "text").join(grouped, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    own = F.filter("items", lambda s: F.substr("text", s["start"] + 1, s["end"] - s["start"]) == s["value"])
+    plain = F.transform(own, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["replacement"].alias("replacement")))
+    return rows.select("doc_id", F.when(F.col("items").isNull(), F.col("text")).otherwise(apply_replacements(F.col("text"), normalise_replacements(plain))).alias("text"))
+
 
+def _put_back(text: Column, pattern: str, known: Column, form=lambda h: h) -> Column:
+    """``text`` with each hit of ``pattern`` whose form is a key of the map ``known`` replaced by its value."""
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    return F.array_join(F.transform(pairs, lambda x: F.concat(x["gap"], F.coalesce(F.try_element_at(known, form(x["hit"])), x["hit"], F.lit("")))), "")
 
-def restore(documents: DataFrame, mapping: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Replies (key, text) with every known placeholder put back once; restored text isn't searched again."""
-    maps = mapping.groupBy(F.col(key).alias("_k")).agg(F.map_from_entries(F.collect_list(F.struct("replacement", "original"))).alias("m"))
-    rows = documents.join(maps, F.col(key) == F.col("_k"), "left").withColumn("_gaps", F.split("text", TOKEN, -1)).withColumn("_hits", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))
-    back = F.transform("_hits", lambda h: F.coalesce(F.try_element_at("m", h), h))
-    text = F.array_join(F.zip_with("_gaps", F.concat(back, F.array(F.lit(""))), lambda g, b: F.concat(g, F.coalesce(b, F.lit("")))), "")
-    return rows.select(key, F.when(F.col("m").isNull(), F.col("text")).otherwise(text).alias("text"))
+
+def restore(documents: DataFrame, mapping: DataFrame, key: str = "doc_id", tolerant: bool = False) -> DataFrame:
+    """Replies (key, text) with every known placeholder put back once; restored text isn't searched again.
+
+    tolerant: placeholders that a model has mangled ("[person 1]",
+    "**PERSON-1**") are put back too, where only one placeholder of the map
+    has that form. Null keys have their own map. Other columns are ignored.
+    """
+    entry = F.map_from_entries(F.collect_list(F.struct("replacement", "original")))
+    maps = mapping.dropDuplicates([key, "replacement"]).groupBy(F.col(key).alias("_k")).agg(entry.alias("_map"))
+    rows = documents.select(key, "text").join(maps, F.col(key).eqNullSafe(F.col("_k")), "left")
+    if not tolerant:
+        return rows.select(key, F.when(F.col("_map").isNull(), F.col("text")).otherwise(_put_back(F.col("text"), TOKEN, F.col("_map"))).alias("text"))
+    forms = tolerant_index(mapping.where(F.col("replacement").rlike(f"^{TOKEN}$")), key).join(mapping.select(F.col(key).alias("_k2"), "replacement", "original").distinct(), ["replacement"])
+    forms = forms.where(F.col(key).eqNullSafe(F.col("_k2"))).groupBy(F.col("_k2").alias("_k3")).agg(F.map_from_entries(F.collect_set(F.struct("canonical", "original"))).alias("_forms"))
+    rows = rows.join(forms, F.col(key).eqNullSafe(F.col("_k3")), "left")
+    back = _put_back(F.col("text"), MANGLED, F.col("_forms"), canonical_placeholder)
+    return rows.select(key, F.when(F.col("_forms").isNull(), F.col("text")).otherwise(back).alias("text"))
 
 
 def unresolved_tokens(documents: DataFrame, mapping: DataFrame, key: str = "doc_id") -> DataFrame:
     """Placeholders in the texts that the map doesn't know: key, token."""
     tokens = documents.select(key, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))).alias("token"))
     known = mapping.select(F.col(key).alias("_k"), "replacement")
-    return tokens.join(known, (F.col(key) == F.col("_k")) & (F.col("token") == F.col("replacement")), "left_anti")
+    return tokens.join(known, F.col(key).eqNullSafe(F.col("_k")) & (F.col("token") == F.col("replacement")), "left_anti")
 
 
 def canonical_placeholder(token: Column) -> Column:
@@ -104,6 +131,11 @@ def canonical_placeholder(token: Column) -> Column:
     return F.regexp_replace(F.lower(core), r"[^a-z0-9]+", "_")
 
 
+def canonical_type_prefix(canonical: Column) -> Column:
+    """The type of a canonical placeholder ("credit_card" of "credit_card_2"); null for other forms."""
+    return F.when(canonical.rlike(r"^[a-z][a-z0-9_]*_[0-9]+$"), F.regexp_replace(canonical, r"_[0-9]+$", ""))
+
+
 def tolerant_index(mapping: DataFrame, key: str = "doc_id") -> DataFrame:
     """Canonical forms that stand for one placeholder only: key, canonical, replacement."""
     forms = mapping.select(key, "replacement", canonical_placeholder(F.col("replacement")).alias("canonical")).distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import SHORT_WORDS
+
 # Characters trimmed from the ends of model spans; short tokens that are no persons.
 LEAD = r"^[\s,;:.!?()\[\]{}\"'`*_\-–—/\\|<>«»„“”‘’]+"
 TRAIL = r"[\s,;:!?()\[\]{}\"'`*_\-–—/\\|<>«»„“”‘’]+$"
@@ -21,10 +23,12 @@ def trim_punctuation(spans: DataFrame) -> DataFrame:
 
 
 def drop_short(spans: DataFrame) -> DataFrame:
-    """Keep values of three characters, persons and unspaced scripts of two."""
+    """Keep values of three characters, persons and unspaced scripts of two; titles and particles alone are no persons."""
     n = F.length(F.trim("value"))
-    least = F.when(F.col("value").rlike(UNSPACED) | (F.col("type") == "PERSON"), 2).otherwise(3)
-    return spans.where(n >= least)
+    unspaced = F.col("value").rlike(UNSPACED)
+    least = F.when(unspaced | (F.col("type") == "PERSON"), 2).otherwise(3)
+    title = (F.col("type") == "PERSON") & ~unspaced & F.lower(F.trim("value")).isin(*SHORT_WORDS)
+    return spans.where((n >= least) & ~title)
 
 
 def at_threshold(spans: DataFrame, threshold: float) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions.validators import VALIDATORS, shannon_entropy
-from ..llm.common import WORD
 from ..operators import metrics, scan, session, spans, windows
 from .rules import RULES, Rule, for_region, rules_table
 
@@ -18,7 +17,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-_BY_NAME = {r.name: r for r in RULES}
+_BY_NAME = {r.name: r for r in reversed(RULES)}
+WORD = r"[^\x20\x09-\x0D]+"
 #: Rules whose spans overlap each other: what the span queries work on.
 MIXED = (_BY_NAME["email"], _BY_NAME["phone_intl"], Rule("universal", "ipv4", "IP_ADDRESS", _BY_NAME["ipv4"].pattern, 0.9), Rule("universal", "digits", "OTHER", r"[0-9]{2,}", 0.5))
 
@@ -128,7 +128,7 @@ SELECT doc_id, type, core AS value, (start + length(lead))::INT AS start, (start
 def trim_span_punctuation(spark, d):
     docs = table(spark, d, "documents")
     lines = scan.segment_lines(docs)
-    found = lines.select("doc_id", F.explode(scan.matches(F.col("line"), _TRIMMED.pattern)).alias("m"), "line_start")
+    found = lines.select("doc_id", F.explode(scan.matches("line", _TRIMMED.pattern)).alias("m"), "line_start")
     start = (F.col("m.start") + F.col("line_start")).cast("int")
     rows = found.select("doc_id", F.lit("OTHER").alias("type"), F.col("m.value").alias("value"), start.alias("start"), (start + F.length("m.value")).cast("int").alias("end"), F.lit(0.6).alias("confidence"), F.lit(_TRIMMED.detector).alias("detector"), F.lit(0).alias("ordinal"))
     return spans.trim_punctuation(rows)
