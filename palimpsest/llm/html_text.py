@@ -7,13 +7,12 @@ import zlib
 from html import unescape
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stash
-from .words import mix64, slices
+from .words import Words, mix64, slices
 
 #: Tokens of a run, and pages of a host it must stand on, to be boilerplate.
 RUN, PAGES = 8, 3
@@ -247,7 +246,7 @@ def windows(tokens: np.ndarray, pages: np.ndarray, run: int) -> np.ndarray:
 
 def _fold(found: list[tuple[int, str]]) -> bytes:
     """Blocks as compressed lines; white space in them is single, so none has a line break."""
-    return zlib.compress("\n".join(f"{kind}{x}" for kind, x in found).encode(), 2)
+    return zlib.compress("\n".join(f"{kind}{x}" for kind, x in found).encode(), 1)
 
 
 def _unfold(page: bytes) -> list[tuple[int, str]]:
@@ -271,8 +270,8 @@ class _Stream:
         self.main = np.array([kind == MAIN for found in pages for kind, _ in found], bool)
         self.page = np.repeat(np.arange(len(pages)), list(map(len, pages)))
         self.sizes = np.array([x.count(" ") + 1 for x in self.texts], np.int64)
-        words = " ".join(self.texts).split(" ") if self.texts else []
-        self.codes = pd.util.hash_array(np.array(words, object), categorize=True) if words else np.zeros(0, np.uint64)
+        # white space in blocks is single spaces, so the words of the joined texts are theirs
+        self.codes = Words(pa.array([" ".join(self.texts)], pa.large_string())).hash if self.texts else np.zeros(0, np.uint64)
         self.owner = np.repeat(self.page, self.sizes)
         # no window spans words of two pages, or of an article and others
         turn = np.ones(len(self.texts), bool)
