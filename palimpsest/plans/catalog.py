@@ -293,6 +293,12 @@ def entropy(spark, d):
     return rows.withColumn("bits", F.round(shannon_entropy(F.col("word")), 6) + F.lit(0.0))
 
 
+@query("shannon_entropy_words", r"""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))) AS word FROM documents), c AS (SELECT doc_id, word, unnest(range(1, length(word) + 1)) AS i FROM w),
+n AS (SELECT doc_id, word, substr(word, i, 1) AS c, count(*) AS k FROM c GROUP BY ALL) SELECT doc_id, word, round(-sum(k / length(word) * log2(k / length(word))), 6) + 0.0 AS bits FROM n GROUP BY doc_id, word""")
+def entropy_words(spark, d):
+    return entropy(spark, d)
+
+
 @query("excel_serial_date", """SELECT l_orderkey, l_linenumber, (CASE WHEN l_quantity * 1000 >= 1 THEN (CASE WHEN l_quantity * 1000 < 60 THEN DATE '1899-12-31' ELSE DATE '1899-12-30' END) + (floor(l_quantity * 1000))::INT END)::DATE::VARCHAR AS day FROM lineitem""")
 def excel_serial_date(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.excel_date(F.col("l_quantity").cast("double") * 1000).cast("string").alias("day"))
@@ -312,6 +318,11 @@ def fold_diacritics(spark, d):
     return table(spark, d, "documents").select("doc_id", T.fold_diacritics(F.col("text")).alias("plain"))
 
 
+@query("fold_diacritics_text", f"SELECT doc_id, replace(replace(translate(text, '{T.ACCENTED}', '{T.PLAIN}'), 'ß', 'ss'), 'œ', 'oe') AS plain FROM documents")
+def fold_diacritics_text(spark, d):
+    return fold_diacritics(spark, d)
+
+
 @query("office_files", "SELECT page_id, regexp_extract(url, '\\.([^./?#]+)$', 1) AS kind, url || '.redacted' AS plain_name FROM (SELECT page_id, 'f' || page_id || '.docx' AS url FROM pages) WHERE false UNION ALL SELECT page_id, 'word' AS kind, 'f' || page_id || '.redacted.docx' AS plain_name FROM pages")
 def office_files(spark, d):
     name = F.concat(F.lit("f"), F.col("page_id").cast("string"), F.lit(".docx"))
