@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+#: Bytes of rows that a Python worker is handed at once; one longer row makes a batch of its own. Spark's own limits (10,000
+#: rows, 64 MB) let a worker and the buffers of its executor grow by several times that.
+BATCH_BYTES = 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +56,30 @@ def discard(stashed: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
 
 
+def give_back() -> None:
+    """Return freed memory to the system; glibc keeps it otherwise, in a worker that waits for its next task as well."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def map_in_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow``, with batches of about BATCH_BYTES, after which a worker gives back what it has freed.
+
+    Spark reads the limit from the session when the plan runs, so it stays set.
+    """
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(tidy, schema)
+
+
 def broadcast_if_small(df: DataFrame, rows: int, most: int) -> DataFrame:
     """Mark ``df`` for broadcast only if its counted ``rows`` are at most ``most``; else the planner joins by shuffle."""
     return F.broadcast(df) if rows <= most else df

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, stash
+from .common import discard, map_in_arrow, stash
 from .words import Words, slices
 
 #: Size of a sketch, and the overlap that sketches of linked texts must have: at similarity 0.8 a shared part of 77 of 96
@@ -177,7 +177,7 @@ def near_duplicates(documents: DataFrame, *, words: int = 5, percent: int = 80)
     if percent < 75:
         raise ValueError("the sketch's bounds hold for similarities of 75 % and more")
     docs = documents.select(F.col("doc_id").cast("long"), "text")
-    sketched = stash(docs.withColumn("row", F.xxhash64("doc_id", "text")).mapInArrow(_sketches(words), "doc_id long, row long, n_shingles long, d1 long, d2 long, sketch array<long>"), "near-sketches")
+    sketched = stash(map_in_arrow(docs.withColumn("row", F.xxhash64("doc_id", "text")), _sketches(words), "doc_id long, row long, n_shingles long, d1 long, d2 long, sketch array<long>"), "near-sketches")
     classes = sketched.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("one"), F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = stash(classes.withColumn("rep", F.col("one.doc_id")).withColumn("cls", F.monotonically_increasing_id()), "near-classes")
     rows = stash(sketched.select("doc_id", "row", "n_shingles", "d1", "d2"), "near-rows")
@@ -190,7 +190,7 @@ def near_duplicates(documents: DataFrame, *, words: int = 5, percent: int = 80)
     inside = stash(classes.join(met.select("cls").distinct(), "cls", "left_semi").select("cls", "rep", "n", "d1", "d2"), "near-inside")
     discard(met)
 
-    passed = docs.withColumn("at", _place()).mapInArrow(_full_sets(words, _bits(inside.select(F.col("rep").alias("doc_id")))), "d1 long, d2 long, shingles array<long>")
+    passed = map_in_arrow(docs.withColumn("at", _place()), _full_sets(words, _bits(inside.select(F.col("rep").alias("doc_id")))), "d1 long, d2 long, shingles array<long>")
     sets = stash(passed.join(inside.select("cls", "d1", "d2"), ["d1", "d2"]).groupBy("cls").agg(F.first("shingles").alias("shingles")), "near-sets")
     lists = _rare_first(sets.select("cls", F.explode("shingles").alias("v")), inside.select("cls", "n", F.col("n").alias("k"), least(F.col("n")).alias("need")))
 
@@ -199,7 +199,7 @@ def near_duplicates(documents: DataFrame, *, words: int = 5, percent: int = 80)
     while not lists.isEmpty():
         pairs, lists = _turn(lists, nodes, turn, percent)
         sides = [sets.select(F.col("cls").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab"]
-        links = stash(pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_confirm(percent), "a long, b long"), "near-links")
+        links = stash(map_in_arrow(pairs.join(sides[0], "a").join(sides[1], "b"), _confirm(percent), "a long, b long"), "near-links")
         nodes = components(nodes, links)
         turn += 1
     discard(sets)

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_in_arrow
 from .words import mix64, powers, slices
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -19,8 +20,8 @@ _BASE = 0xD6E8FEB86659FD93
 #: Piece kinds and model kinds of the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Distinct words of which a worker remembers the pieces; characters of words that advance together, of texts in a slice.
-REMEMBER, TOGETHER, SLICE = 2_000_000, 1 << 18, 1 << 21
+#: Distinct words of which a worker remembers the pieces; characters of words that advance together.
+REMEMBER, TOGETHER = 2_000_000, 1 << 18
 
 
 def _fields(data: bytes):
@@ -376,7 +377,7 @@ def _encoded(shared):
     def run(batches):
         model = shared.value
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
+            for part in slices(batch, "text"):
                 texts = part.column("text").to_pylist()
                 ids, starts = model.encode(texts)
                 back = [t is None or t == x for t, x in zip(texts, model.decode(ids, starts), strict=True)]
@@ -430,10 +431,10 @@ def encode(documents: DataFrame, *, path: str = MODEL_PATH) -> DataFrame:
     empty. Other columns are ignored.
     """
     shared = documents.sparkSession.sparkContext.broadcast(load(path))
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(_encoded(shared), "doc_id long, n_ids long, ids array<int>, round_trip boolean")
+    return map_in_arrow(documents.select(F.col("doc_id").cast("long"), "text"), _encoded(shared), "doc_id long, n_ids long, ids array<int>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, *, path: str = MODEL_PATH) -> DataFrame:
     """doc_id and text of rows (doc_id, ids). Null ids: null text; null elements are skipped; other columns are ignored."""
     shared = encoded.sparkSession.sparkContext.broadcast(load(path))
-    return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(_decoded(shared), "doc_id long, text string")
+    return map_in_arrow(encoded.select(F.col("doc_id").cast("long"), "ids"), _decoded(shared), "doc_id long, text string")

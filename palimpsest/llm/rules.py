@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_in_arrow
 from .words import Words, mix64, slices
 
 #: Buckets of the hashed multinomials of single words and of pairs; what a pass sends to the driver is one row per bucket at most.
@@ -124,7 +125,7 @@ def log_ratios(documents: DataFrame, trusted: DataFrame) -> Ratios:
     else:
         known = None
         docs = docs.join(ids.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    counts = docs.mapInArrow(_counts(known), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+    counts = map_in_arrow(docs, _counts(known), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.zeros(SIZE), np.zeros(SIZE)
     at = np.array(counts.column("bucket"), np.int64)
     raw[at], target[at] = np.array(counts.column("raw"), float), np.array(counts.column("target"), float)
@@ -173,4 +174,4 @@ def judge(documents: DataFrame, trusted: DataFrame, *, least: float = LEAST_RATI
     rows = documents.select(F.col("doc_id").cast("long"), "text", *carry)
     if carry:
         schema += "".join(f", {c} {kind}" for c, kind in rows.dtypes[1:])
-    return rows.mapInArrow(_judge(ratios, least, carry), schema)
+    return map_in_arrow(rows, _judge(ratios, least, carry), schema)

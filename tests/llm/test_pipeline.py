@@ -1,8 +1,10 @@
 """Every stage of the corpus pipeline against plain Python, on its own input."""
 
 import random
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -143,3 +145,45 @@ def test_random_rows_survive(spark, folder):
     odd = [(r.choice([None, 1, 2]), r.choice([None, "", "\n\n", "x", "é" * 5000, "same same " * 30]), None, r.choice([None, "s"]), None) for _ in range(40)]
     for k in range(4):
         stage(spark, folder, k, odd)
+
+
+def test_python_workers_get_small_batches(spark, folder, monkeypatch):
+    """No stage hands a Python worker more than 2 MB and a row at once; by Spark's own limits these 6.8 MB make one batch."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    frame = type(spark.range(0))
+    plain, seen = frame.mapInArrow, []
+
+    def watched(self, run, schema, *more):
+        def held(batches):
+            def small():
+                for batch in batches:
+                    assert batch.nbytes < 5 << 19, f"a batch of {batch.nbytes} bytes"
+                    yield batch
+
+            yield from run(small())
+
+        seen.append(schema)
+        return plain(self, held, schema, *more)
+
+    monkeypatch.setattr(frame, "mapInArrow", watched)
+    rows = [(i, text_of(i // 2, 400, 3000) + f" end{i}", "en", "s", 0) for i in range(3000)]
+    at = f"{folder}/large.parquet"
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(at)
+    for k, calls, left in ((0, 2, None), (2, 3, 1500), (4, 1, 3000)):
+        seen.clear()
+        n = corpus_pipeline.STAGES[k][1](spark, spark.read.parquet(at).coalesce(1), folder).count()
+        assert len(seen) >= calls and left in (None, n)
+
+
+def test_encoding_works_on_small_slices():
+    """What encoding 2 MB of text at once takes besides the model, in the objects that Python and numpy allocate."""
+    model = pieces.load()
+    shared = type("Shared", (), {"value": model})
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(700)), "text": [text_of(i % 7, 700, 3000) for i in range(700)]})
+    assert batch.nbytes > 1 << 21
+    list(pieces._encoded(shared)(iter([batch.slice(0, 7)])))
+    tracemalloc.start()
+    rows = sum(out.num_rows for out in pieces._encoded(shared)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 700 and peak < 50 << 20, f"{peak >> 20} MB"
