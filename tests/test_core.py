@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.validators import VALIDATORS, validator
 from palimpsest.operators import metrics, scan, session, spans
 from palimpsest.plans import catalog
-from palimpsest.plans.rules import RULES, for_region, java_pattern
+from palimpsest.plans.rules import RULES, SPACES, for_region, java_pattern
 from palimpsest.sources import office
 from palimpsest.streaming.sessions import number_batch
 
@@ -127,3 +127,29 @@ def test_fold_and_entropy_take_whole_texts(spark, tmp_path):
     assert plain == {1: "x" * 100 + " Elan", 2: rows[1][1], 3: None, 4: ""}
     bits = {(r.doc_id, r.word): r.bits for r in catalog.QUERIES["shannon_entropy"](spark, str(tmp_path)).collect()}
     assert bits == {(1, "x" * 100): 0.0, (1, "Élan"): 2.0, (2, "1st"): 1.584963, (2, "aab"): 0.918296, (2, "Ωmega"): 2.321928}
+
+
+def test_scan_finds_what_each_rule_alone_finds_in_every_line(spark):
+    """Cheap tests of lines, shared by rules, lose no match: spaces beyond ASCII, signs in other case, lines without a digit."""
+    lines = [
+        "Acme Trading GmbH", "Foo e. V. und", "in Höhe von zwei EURO", "pay the sum of two CENTS", "Rua Direita", "C/ Mayor", "calle Mayor 5", "AVENIDA Central",
+        "Nr: AB12345", "id # XY 12345 6", "Hauptstraße 12", "HAUPTSTRASSE 12", "株式会社 山田", "三百円", "sk-ant-" + "a" * 24, "AKIA" + "A" * 16, "ghp_" + "a" * 36,
+        "eyJ" + "a" * 8 + "." + "b" * 8 + "." + "c" * 8, "Steuer 86 095 742 719", "86 095 742 718", "nothing here", "", "Smith & Co. Ltd", "C.V. AG BV",
+    ]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, None)], "doc_id long, text string")
+    flat = docs.select("doc_id", F.explode(F.split(F.translate("text", SPACES, " " * len(SPACES)), "\n")).alias("line")).cache()
+    rules = [(i, r) for i, r in enumerate(RULES) if not r.multiline]
+    counts = flat.select(*[F.sum(F.size(F.regexp_extract_all("line", F.lit(java_pattern(r.pattern, r.flags, flat=True)), F.lit(0)))).alias(f"r{i}") for i, r in rules]).first()
+    expect = {i: counts[f"r{i}"] for i, _ in rules if counts[f"r{i}"]}
+    hits = scan._candidates(scan._held_lines(docs, [r for _, r in rules]), "line", rules).collect()
+    text = "\n".join(lines)
+    assert {i: sum(h.ordinal == i for h in hits) for i in {h.ordinal for h in hits}} == expect
+    assert {"C/ Mayor", "nothing here"}.isdisjoint(h.value for h in hits) and len(expect) > 20
+    assert "86 095 742 719" in {r.value for r in scan.scan(docs, for_region("de")).collect()}
+    assert all(text[r.start : r.end] == r.value for r in scan.scan(docs).collect())
+
+
+def test_checks_stay_small(spark):
+    """An expression that names its last step twice doubles with each digit, and every task reads the whole plan."""
+    sizes = {name: len(check(F.col("v"))._jc.toString()) for name, check in VALIDATORS.items()}
+    assert max(sizes.values()) < 4000, sizes
