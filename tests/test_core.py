@@ -1,13 +1,16 @@
 """Spans, sessions and packages against plain Python."""
 
 import io
+import math
 import random
 import zipfile
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.functions import text as T
 from palimpsest.functions.validators import VALIDATORS, validator
 from palimpsest.operators import metrics, scan, session, spans
 from palimpsest.plans import catalog
@@ -153,3 +156,11 @@ def test_checks_stay_small(spark):
     """An expression that names its last step twice doubles with each digit, and every task reads the whole plan."""
     sizes = {name: len(check(F.col("v"))._jc.toString()) for name, check in VALIDATORS.items()}
     assert max(sizes.values()) < 4000, sizes
+
+
+def test_entropy_of_words_works_out_each_distinct_word_once():
+    words = pa.array(["aab", "Ωmega", "", "𝄞𝄞b", "aab", "x"])
+    bits = T._entropy_bits()(words).to_pylist()
+    expect = [round(-sum(w.count(c) / len(w) * math.log2(w.count(c) / len(w)) for c in set(w)), 6) + 0.0 for w in words.to_pylist()]
+    assert bits == expect
+    assert math.copysign(1, bits[2]) == math.copysign(1, bits[5]) == 1
