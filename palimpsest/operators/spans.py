@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.names import SHORT_WORDS
 
@@ -70,6 +71,14 @@ def resolve_overlaps(spans: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.explode(kept).alias("s")).select("doc_id", "s.*")
 
 
+def clipped(spans: DataFrame) -> DataFrame:
+    """What the spans before it leave of each span, with that part as its value; covered ones go. Rows that share a doc_id count as one text."""
+    order = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), "ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.greatest("start", F.coalesce(F.max("end").over(order), F.lit(0)))
+    rows = spans.withColumn("_at", at).where(F.col("_at") < F.col("end"))
+    return rows.withColumns({"value": F.substr("value", F.col("_at") - F.col("start") + 1), "start": F.col("_at").cast("int")}).drop("_at")
+
+
 def greedy_select(spans: DataFrame) -> DataFrame:
     """Best-first selection: by confidence, a span stays if it is disjoint from all that stay before it."""
     rows = _gathered(spans, _by(("confidence", True), ("start", False), ("end", False), ("ordinal", False)))

@@ -164,3 +164,9 @@ def test_entropy_of_words_works_out_each_distinct_word_once():
     expect = [round(-sum(w.count(c) / len(w) * math.log2(w.count(c) / len(w)) for c in set(w)), 6) + 0.0 for w in words.to_pylist()]
     assert bits == expect
     assert math.copysign(1, bits[2]) == math.copysign(1, bits[5]) == 1
+
+
+def test_restore_is_exact_where_spans_overlap(spark, tmp_path):
+    text = "call +1 (683) 555-5442 55.95.145.182 or 55.95.145.182"
+    spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.text for r in catalog.QUERIES["restore_exact"](spark, str(tmp_path)).collect()} == {1: text, 2: None}
